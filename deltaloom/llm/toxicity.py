@@ -18,7 +18,9 @@ MAX_LABELLED = 30_000
 #: Expressions (words and word pairs) that a model keeps at most, by evidence.
 MAX_EXPRESSIONS = 100_000
 #: Absolute discount, and the log-likelihood ratio statistic from which a class has counts of its own for an expression.
-DISCOUNT, EVIDENCE = 0.75, 16.0
+DISCOUNT, EVIDENCE = 0.75, 10.0
+#: Expressions that are less than this many times as likely in one class as in the other count as equally likely.
+CONTRAST = 4.0
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
 
@@ -40,23 +42,38 @@ def expressions(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return one, mix(np.where(first, U(0), before) * M1 + one * M4), counts
 
 
+def presence(column: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For words, then for pairs: distinct hashes of each text, the text of each, and the word that each ends."""
+    one, two, counts = expressions(column)
+    text = np.repeat(np.arange(len(counts)), counts)
+    out = []
+    for keys in (one, two):
+        order = np.lexsort((keys, text)) if len(counts) > 1 else np.argsort(keys)
+        k, t = keys[order], text[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+        out.append((k[new], t[new], one[order][new]))
+    return out[0], out[1]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: (expression, its word, is a pair, count in ordinary, count in toxic texts)."""
+    """Per batch: (expression, its word, is a pair, ordinary texts that have it, toxic ones). Texts count, not
+    occurrences: one that says a thing over and over says it once."""
     for batch in batches:
-        one, two, counts = expressions(batch.column("text"))
-        toxic = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool), counts)
-        for pair, keys in ((False, one), (True, two)):
+        toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+        for pair, (keys, text, word) in enumerate(presence(batch.column("text"))):
             if len(keys):
                 u, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-                t = np.bincount(inverse, toxic, len(u)).astype(np.int64)
+                t = np.bincount(inverse, toxic[text], len(u)).astype(np.int64)
                 n = np.bincount(inverse, minlength=len(u)) - t
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(one[at].view(np.int64)), pa.array(np.full(len(u), pair)), pa.array(n.astype(np.int64)), pa.array(t)], ["key", "word", "pair", "n", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(word[at].view(np.int64)), pa.array(np.full(len(u), bool(pair))), pa.array(n.astype(np.int64)), pa.array(t)], ["key", "word", "pair", "n", "t"])
 
 
 @dataclass
 class Model:
     """Log-likelihood ratio (toxic to ordinary) of the words and pairs whose class counts differ; all other words
-    have their shared backoff probability in both models, so their ratio is 0. Then the calibration."""
+    have their shared backoff probability in both models, so their ratio is 0. Then the calibration, on the
+    difference of the length-normalised log-likelihoods, split into what speaks for either class."""
 
     word_keys: np.ndarray
     word_ratio: np.ndarray
@@ -65,17 +82,17 @@ class Model:
     weights: np.ndarray
 
     def features(self, column: pa.Array) -> np.ndarray:
-        one, two, counts = expressions(column)
+        """Constant, length-normalised ratio for and against, sum of what speaks for, and log length, in distinct words."""
+        (one, text, _), (two, text2, word2) = presence(column)
+        n = np.bincount(text, minlength=len(column))
         ratio = _look_up(self.word_keys, self.word_ratio, one)
-        pair = _look_up(self.pair_keys, self.pair_ratio, two, np.nan)
-        ratio = np.where(np.isnan(pair), ratio, pair)
-        begin = np.cumsum(counts) - counts
-        total = np.zeros(len(counts))
-        if len(ratio):
-            sums = np.concatenate([[0.0], np.cumsum(ratio)])
-            total = sums[begin + counts] - sums[begin]
-        n = np.maximum(counts, 1)
-        return np.stack([np.ones(len(n)), np.clip(total / n, -1, 1) * 20, np.clip(total / np.sqrt(n), -10, 10), np.log(n)], axis=1)
+        # A known pair adds what it says beyond its word.
+        pair = _look_up(self.pair_keys, self.pair_ratio, two)
+        beyond = np.where(pair != 0, pair - _look_up(self.word_keys, self.word_ratio, word2), 0.0)
+        toward = np.bincount(text, np.maximum(ratio, 0), len(column)) + np.bincount(text2, np.maximum(beyond, 0), len(column))
+        away = np.bincount(text, np.minimum(ratio, 0), len(column)) + np.bincount(text2, np.minimum(beyond, 0), len(column))
+        n = np.maximum(n, 1)
+        return np.stack([np.ones(len(n)), np.clip(toward / n, 0, 0.25) * 20, np.clip(away / n, -0.25, 0) * 20, np.clip(toward, 0, 30) / 4, np.log(n)], axis=1)
 
     def score(self, column: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(column) @ self.weights, -30, 30)))
@@ -135,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     counted = counted.groupBy("key", "word", "pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).persist()
     sums = {r["pair"]: r for r in counted.groupBy("pair").agg(F.count("*").alias("types"), F.sum("n").alias("n"), F.sum("t").alias("t")).collect()}
     empty = np.empty(0, np.uint64), np.empty(0)
-    model = Model(*empty, *empty, np.zeros(4))
+    model = Model(*empty, *empty, np.zeros(5))
     if sums:
         every, tt = sums[False]["n"] + sums[False]["t"], sums[False]["t"]
         share = F.lit(tt / every)
@@ -154,6 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
             continuation = own["contexts"].to_numpy(float) if not pair else np.ones(len(own))
             ratio = kneser_ney_ratios(own["n"].to_numpy(float), own["t"].to_numpy(float), continuation, (sums[pair]["n"], sums[pair]["t"]), types)
             keys = own["key"].to_numpy(np.int64).view(np.uint64)
+            apart = np.abs(ratio) >= np.log(CONTRAST)
+            keys, ratio = keys[apart], ratio[apart]
             order = np.argsort(keys)
             setattr(model, f"{into}_keys", keys[order])
             setattr(model, f"{into}_ratio", ratio[order])
@@ -167,14 +186,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in held.value.features(batch.column("text")).T), batch.column("toxic")], ["a", "b", "c", "d", "toxic"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in held.value.features(batch.column("text")).T), batch.column("toxic")], [*"abcde", "toxic"])
 
-    shown = rows.filter("fold = 3").select("text", "toxic").mapInArrow(features, "a double, b double, c double, d double, toxic int").toPandas()
+    shown = rows.filter("fold = 3").select("text", "toxic").mapInArrow(features, "a double, b double, c double, d double, e double, toxic int").toPandas()
     if shown["toxic"].nunique() == 2:
-        model.weights = _logistic(shown[["a", "b", "c", "d"]].to_numpy(), shown["toxic"].to_numpy(float))
+        model.weights = _logistic(shown[list("abcde")].to_numpy(), shown["toxic"].to_numpy(float))
     else:
         rate = marks.agg(F.avg("toxic")).first()[0] or 0.0
-        model.weights = np.array([np.log((rate + 1e-6) / (1 - rate + 1e-6)), 0, 0, 0])
+        model.weights = np.array([np.log((rate + 1e-6) / (1 - rate + 1e-6)), 0, 0, 0, 0])
     return model
 
 
