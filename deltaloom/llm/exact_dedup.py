@@ -19,17 +19,22 @@ def ascii_fold(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def flush(entries: DataFrame, smallest: bool, name: str) -> DataFrame:
-    """Flushes memtables: each task folds its share by digest (Spark's partial aggregation is the memtable) and
-    the merged entries are written as runs sorted by digest, with a Bloom filter on the digest of each run."""
+def flush(entries: DataFrame, keys: list[str], smallest: bool, name: str) -> DataFrame:
+    """Flushes memtables: each task folds its share by key (Spark's partial aggregation is the memtable) and the
+    merged entries are written as runs sorted by digest, with a Bloom filter on the digest of each run."""
     pick = F.min if smallest else F.max
-    run = entries.groupBy("digest").agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    return stage(run.sortWithinPartitions("digest"), name, **{"parquet.bloom.filter.enabled#digest": "true"})
+    run = entries.groupBy(*keys).agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    run = run.select("digest", "keep_id", "group_size").sortWithinPartitions("digest")
+    return stage(run, name, **{"parquet.bloom.filter.enabled#digest": "true"})
 
 
-def compact(older: DataFrame, newer: DataFrame, smallest: bool, name: str) -> DataFrame:
-    """Merges two levels of runs into one: an identifier per digest survives, sizes add up."""
-    return flush(older.unionByName(newer), smallest, name)
+def compact(runs: list[DataFrame], smallest: bool) -> DataFrame:
+    """Merges runs: an identifier per digest survives, sizes add up; variants: how many entries were merged."""
+    every = runs[0]
+    for run in runs[1:]:
+        every = every.unionByName(run)
+    pick = F.min if smallest else F.max
+    return every.groupBy("digest").agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count("*").alias("variants"))
 
 
 def exact_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", smallest: bool = False, normalise: Callable[[Column], Column] = ascii_fold, index: DataFrame | None = None) -> DataFrame:
@@ -37,32 +42,27 @@ def exact_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     Texts are equal when their normalised bytes are. Of equal texts the row with the largest doc_id stays
     (the smallest with smallest=True). index: runs of an earlier call (digest, keep_id, group_size) to merge
-    with; their texts cannot be verified here, so they count as equal by digest. Defined results: null text is
+    with; their texts are not at hand, so they count as equal by digest. Defined results: null text is
     empty text; all empty texts are one group; of repeated rows with the same doc_id all carry that keep_id and
     kept is true for each, as they cannot be told apart; null doc_id never wins over another id; an
     empty table gives an empty result; other columns, whatever their names, are ignored.
 
-    Groups of any size: memtables fold copies before the shuffle, the verification groups by digest and bytes
-    with the same folding, and the last join has nothing above it, so that Spark can split a hot digest.
+    Groups of any size: memtables fold by digest and bytes before anything is shuffled, so each task sends one
+    entry of a group at most and equal digests are verified byte by byte as they are merged; the last join has
+    nothing above it, so that Spark can split a hot digest.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), normalise(F.col(text)).alias("body"))
     keyed = rows.withColumn("digest", F.sha2("body", 256))
-    entries = stage(keyed.select("doc_id", "digest"), "dedup-digests")
-    runs = flush(entries.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")), smallest, "dedup-run")
-    if index is not None:
-        runs = compact(index, runs, smallest, "dedup-compacted")
-    pick = F.min if smallest else F.max
-    # Byte verification: only hits (digests seen more than once) bring their bytes.
-    hits = runs.filter("group_size > 1").select(F.col("digest").alias("hit"))
-    bodies = keyed.join(hits, F.col("digest") == F.col("hit"), "left_semi").groupBy("digest", "body").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    variants = bodies.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("clash"))
-    clashes = stage(variants, "dedup-clashes")
-    whole = entries.join(runs.withColumnRenamed("digest", "run_digest"), F.col("digest") == F.col("run_digest"))
+    told = flush(keyed.select("digest", "body", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")), ["digest", "body"], smallest, "dedup-run")
     out = [F.col("doc_id"), F.col("keep_id"), F.col("group_size"), F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.col("digest").alias("text_sha256")]
+    clashes = stage(told.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("clash")), "dedup-clashes")
+    merged = told if index is None else compact([index.select("digest", "keep_id", "group_size"), told], smallest).drop("variants")
+    whole = keyed.select("doc_id", "digest").join(merged.withColumnRenamed("digest", "run_digest"), F.col("digest") == F.col("run_digest"))
     if clashes.isEmpty():
         return whole.select(*out)
     # Different texts under one digest: those few rows are told apart by their bytes.
     plain = whole.join(clashes, F.col("digest") == F.col("clash"), "left_anti").select(*out)
-    told = keyed.join(clashes, F.col("digest") == F.col("clash"), "left_semi")
-    split = told.join(bodies.select(F.col("digest").alias("d"), F.col("body").alias("b"), "keep_id", "group_size"), (F.col("digest") == F.col("d")) & (F.col("body") == F.col("b")))
-    return plain.unionByName(split.select(*out))
+    pick = F.min if smallest else F.max
+    few = keyed.join(clashes, F.col("digest") == F.col("clash"), "left_semi")
+    groups = few.groupBy(F.col("digest").alias("d"), F.col("body").alias("b")).agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return plain.unionByName(few.join(groups, (F.col("digest") == F.col("d")) & (F.col("body") == F.col("b"))).select(*out))
