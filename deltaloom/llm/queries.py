@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media, mixing, ngram_join, packing, toxicity
+from . import exact_dedup, media, mixing, ngram_join, packing, suffix_dedup, toxicity
 from .support import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -41,7 +45,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op3_toxicity, op4_media_columns, op5_exact_dedup, op6_ngram_join, op7_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_toxicity, op4_media_columns, op5_exact_dedup, op6_ngram_join, op7_mixing)}
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": """
