@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, ngram_join, packing, suffix_dedup, toxicity
+from . import exact_dedup, html_extract, media, mixing, ngram_join, packing, quality, secrets_scan, suffix_dedup, toxicity
 from .support import table
 
 
@@ -45,7 +46,37 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_toxicity, op4_media_columns, op5_exact_dedup, op6_ngram_join, op7_mixing)}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades from the two marks of labels: 0 poor, 1 good but toxic, 2 good; kept are those likely to be good."""
+    docs = table(spark, sf_dir, "documents")
+    ratings = table(spark, sf_dir, "labels").withColumn("grade", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2))
+    return quality.grade(docs, quality.fit(docs, ratings))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    return secrets_scan.scan(table(spark, sf_dir, "documents"), secrets_scan.fit(path), path)
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup,
+        op2_best_fit_packing,
+        op3_toxicity,
+        op4_media_columns,
+        op5_exact_dedup,
+        op6_ngram_join,
+        op7_mixing,
+        op8_quality_classifier,
+        op9_secret_scan,
+        op10_html_extraction,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": """
