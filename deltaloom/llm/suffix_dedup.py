@@ -14,13 +14,13 @@ from .support import arrow_batches, block_count
 from .textblocks import M1, M4, MULTIPLIERS, U, flat, mix, pack_sorted, unpack_sorted
 
 #: Bytes of text in a block, which is what one task holds at once.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of an anchor; a window is dealt by the anchor of least hash inside it.
 ANCHOR = 16
 #: From so many occurrences on, windows of an anchor are dealt by their own content.
 HOT = 20_000
 #: Bytes of the transforms that are built at once, and window starts that are hashed at once.
-TRANSFORM_BYTES, CHUNK = 3 << 20, 1 << 18
+TRANSFORM_BYTES, CHUNK = 2 << 20, 1 << 17
 #: The doc_id by which null counts: larger than all others.
 NULL_ID = 2**63 - 1
 
@@ -42,7 +42,7 @@ def anchor_runs(b: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     n = len(b) - length + 1
     if n <= 0:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
-    ends = np.repeat(offsets[1:], np.diff(offsets))
+    ends = np.repeat(offsets[1:].astype(np.int32), np.diff(offsets))
     padded = np.concatenate([b, np.zeros(8, np.uint8)])
     words = np.ndarray((len(b) + 1,), "<u8", padded, 0, (1,))
     short = U(64 - 8 * half)
@@ -388,18 +388,22 @@ def _remove(length: int, buckets: int, with_text: bool):
             occurrence = by_unit[np.repeat(first[which] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
             hit = least[row] < owner[occurrence]
             row, occurrence = row[hit], occurrence[hit]
-            n, at = runs[row] & 0xFFFF, starts[occurrence] + (runs[row] >> 16)
-            marked[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())] = True
-        seen = np.concatenate([[0], np.cumsum(marked[:-1])])
-        index = np.arange(len(block.b))
-        covered = seen[1:] > seen[np.maximum(index - length + 1, 0)]
+            many, at = runs[row] & 0xFFFF, starts[occurrence] + (runs[row] >> 16)
+            marked[np.repeat(at - (np.cumsum(many) - many), many) + np.arange(many.sum())] = True
+        n = len(block.b)
+        seen = np.zeros(n + 1, np.int32)
+        np.cumsum(marked[:-1], out=seen[1:])
+        covered = seen[1:] > 0  # less what started too far before:
+        covered[length - 1 :] = seen[length:] > seen[: max(0, n - length + 1)]
         begins = covered.copy()
         begins[1:] &= ~covered[:-1]
         texts = block.offsets[:-1][np.diff(block.offsets) > 0]
         begins[texts] = covered[texts]
 
         def per_text(flags: np.ndarray) -> np.ndarray:
-            return np.diff(np.concatenate([[0], np.cumsum(flags)])[block.offsets])
+            sums = np.zeros(n + 1, np.int32)
+            np.cumsum(flags, out=sums[1:])
+            return np.diff(sums[block.offsets]).astype(np.int64)
 
         sizes, removed, spans = np.diff(block.offsets), per_text(covered), per_text(begins)
         rest = block.b[~covered].tobytes()
