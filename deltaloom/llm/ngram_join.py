@@ -16,21 +16,30 @@ from .support import arrow_batches, block_count, block_of, stage
 from .textblocks import M1, M4, U, distinct_in_texts, flat, mix, pack_sorted, shingles, unpack_sorted, word_hashes, words
 
 #: Bytes of text in a block, which is what one task holds at once.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
+#: Bytes of text whose words are hashed at once.
+PART_BYTES = 1 << 19
 #: Token classes: from so many texts on, tokens are indexed by combinations of so many.
-CLASSES = ((0, 1), (9, 2), (1025, 3))
+CLASSES = ((0, 1), (17, 2), (4097, 3))
 #: Tokens of a frequent class that fall into one subclass, about; combinations are formed inside subclasses.
-SUBCLASS = {2: 3.0, 3: 4.5}
-#: Postings up to this length are compared pair by pair, longer ones leader by leader.
-SMALL_POSTING = 24
-#: Leaders of a longer posting in each round after the first, which has one.
-LEADERS = 16
+SUBCLASS = {2: 2.0, 3: 3.0}
+#: Postings up to this length are compared pair by pair, longer ones leader by leader. Where all postings up to a
+#: greater length have no more pairs than there are rows in the first round's postings, that length counts.
+SMALL_POSTING = 8
 
 
 def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, in a row, and how many each has; a few texts at a time."""
     b, offsets = flat(column)
-    starts, _, counts = words(b, offsets)
-    return distinct_in_texts(*shingles(word_hashes(b, starts), counts, k))
+    values, sizes, lo = [], [], 0
+    while lo < len(offsets) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + PART_BYTES, side="right")) - 1)
+        part, at = b[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        starts, _, counts = words(part, at)
+        v, n = distinct_in_texts(*shingles(word_hashes(part, starts), counts, k))
+        values.append(v), sizes.append(n)
+        lo = hi
+    return (np.concatenate(values), np.concatenate(sizes)) if values else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
 def _digests(k: int):
@@ -185,56 +194,100 @@ def _candidates(k: int, buckets: int, share: int):
         rows = []
         for i in np.flatnonzero((alone <= missed) & (block.sizes > 0)).tolist():
             s, e = ends[i] - block.sizes[i], ends[i]
-            own = block.values[s:e]
-            found = signatures(own.tolist(), level[s:e].tolist(), share)
+            own, rank = block.values[s:e], level[s:e]
+            found = signatures(own.tolist(), rank.tolist(), share)
             if found:
-                rows.append((block.ids[i], len(own), own.view(np.int64), found))
-        columns = list(zip(*rows, strict=True)) or [()] * 4
+                rows.append((block.ids[i], len(own), int(alone[i]), own[rank > 0].view(np.int64), found))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
         long = pa.list_(pa.int64())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), long, long), strict=True)], ["doc_id", "n", "tokens", "signatures"])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), long, long), strict=True)], ["doc_id", "n", "alone", "tokens", "signatures"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Those pairs (a, b) whose sets have share % of their union in common. Both joins are plain, so hot ends are split."""
-    one = sets.select(F.col("doc_id").alias("ia"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("doc_id").alias("ib"), F.col("tokens").alias("tb"))
+def _compared(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Adds to pairs (a, b) of doc_id: the sizes na and nb, how many tokens are common, whether they link, and what
+    a has of shared tokens besides b (rest). Both joins are plain, so that hot ends are split."""
+    one = sets.select(F.col("doc_id").alias("ia"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    two = sets.select(F.col("doc_id").alias("ib"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = pairs.join(one, F.col("a") == F.col("ia")).join(two, F.col("b") == F.col("ib"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    return both.filter(100 * common >= share * (F.size("ta") + F.size("tb") - common)).select("a", "b")
+    both = both.withColumn("rest", F.array_except("ta", "tb")).withColumn("common", F.size("ta") - F.size("rest"))
+    return both.select("a", "b", "na", "nb", "common", (100 * F.col("common") >= share * (F.col("na") + F.col("nb") - F.col("common"))).alias("linked"), "rest")
+
+
+def _one_of_each(postings: DataFrame) -> DataFrame:
+    """Postings of two members or more, one of those with the same members."""
+    sized = postings.groupBy("s").agg(F.count("*").alias("members"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h1"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("h2")).filter("members > 1")
+    kept = sized.groupBy("members", "h1", "h2").agg(F.min("s").alias("t")).select("t", "members")
+    return postings.join(kept, F.col("s") == F.col("t")).select("s", "doc_id", "n", "alone", "component", "members")
+
+
+def _small(postings: DataFrame, room: int | None) -> tuple[int, int]:
+    """Up to which length postings are compared pair by pair, and how many rows all have."""
+    sizes = postings.groupBy(F.ceil(F.log2("members")).cast("int").alias("power")).agg(F.sum("members").alias("pairs"), F.count("*").alias("n")).orderBy("power").collect()
+    rows = sum(r["n"] for r in sizes)
+    most, used = SMALL_POSTING, 0
+    for r in sizes:
+        used += r["pairs"]
+        if used <= (rows if room is None else room):
+            most = max(most, 1 << r["power"])
+    return most, rows
 
 
 def _links(found: DataFrame, share: int) -> DataFrame:
-    """All links that the components need: of each posting, small ones are compared pair by pair, others leader by
-    leader. A member that shares the leader's component needs no comparison, and a leader that was compared with
-    all others leaves; this ends when no posting spans two components."""
-    sets = found.select("doc_id", "tokens")
-    postings = stage(found.select("doc_id", "n", F.explode("signatures").alias("s")).distinct(), "postings")
-    size = postings.groupBy("s").agg(F.count("*").alias("members")).filter("members > 1")
-    postings = stage(postings.join(size.withColumnRenamed("s", "t"), F.col("s") == F.col("t")).select("s", "doc_id", "n", "members"), "postings")
-    near = (100 * F.col("n") >= share * F.col("m")) & (100 * F.col("m") >= share * F.col("n"))
-    small = postings.filter(F.col("members") <= SMALL_POSTING)
-    other = small.select(F.col("s").alias("t"), F.col("doc_id").alias("b"), F.col("n").alias("m"))
-    pairs = small.join(other, (F.col("s") == F.col("t")) & (F.col("doc_id") < F.col("b"))).filter(near).select(F.col("doc_id").alias("a"), "b")
-    open_ = postings.filter(F.col("members") > SMALL_POSTING).select("s", "doc_id", "n")
-    links, many = None, 1
+    """Labels (node, component) of all texts with links.
+
+    A small posting is compared pair by pair, where alone (tokens that no other text has) lets a pair be close
+    enough. A longer one is compared with one leader, the member with the fewest tokens of its own. Let x not link
+    with its leader l, and y be another member. Without a shared token outside l, what x and y have in common
+    is part of l, so that y links with x only if it is smaller than l and enough of l is in both: these pairs are compared.
+    Any other y shares a token outside l with x, so both meet again in the posting of l and that token. So each
+    round ends with shorter postings, of which only those that span two components matter, and the rounds
+    end when no leader has been compared with anything new.
+    """
+    sets = found.select("doc_id", "n", "tokens")
+    able = found.select(F.col("doc_id").alias("member"), "n", "alone")
+    postings = found.select("doc_id", "n", "alone", F.col("doc_id").alias("component"), F.explode(F.array_distinct("signatures")).alias("s"))
+    known = labels = close = room = None
     while True:
-        leaders = open_.groupBy("s", F.pmod(F.xxhash64("doc_id"), F.lit(many))).agg(F.min(F.struct("doc_id", "n")).alias("l")).select(F.col("s").alias("t"), F.col("l.doc_id").alias("b"), F.col("l.n").alias("m"))
-        led = open_.join(leaders, F.col("s") == F.col("t")).filter("doc_id <> b").filter(near).select(F.col("doc_id").alias("a"), "b")
-        wanted = (led if links is not None else pairs.unionByName(led)).distinct()
-        many = LEADERS
-        new = stage(_verified(wanted, sets, share), "near-links")
-        links = new if links is None else links.unionByName(new)
-        rest = open_.join(leaders, (F.col("s") == F.col("t")) & (F.col("doc_id") == F.col("b")), "left_anti")
-        if rest.isEmpty():
-            return links
-        labels = connected_components(links).select(F.col("node"), F.col("component"))
-        named = rest.join(labels, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = named.groupBy("s").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select(F.col("s").alias("t"))
-        open_ = stage(named.join(mixed, F.col("s") == F.col("t"), "left_semi").select("s", "doc_id", "n"), "open-postings")
-        if open_.isEmpty():
-            return links
+        postings = stage(_one_of_each(postings), "postings")
+        length, rows = _small(postings, room)
+        room = rows if room is None else room
+        common = F.least(F.col("n") - F.col("alone"), F.col("m") - F.col("lone"))
+        possible = 100 * common >= share * (F.col("n") + F.col("m") - common)
+        small = postings.filter(F.col("members") <= length)
+        other = small.select(F.col("s").alias("t"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("alone").alias("lone"), F.col("component").alias("c"))
+        pairs = small.join(other, (F.col("s") == F.col("t")) & (F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("c")) & possible).select(F.col("doc_id").alias("a"), "b")
+        pairs = (pairs if close is None else pairs.unionByName(close)).distinct()
+        large = postings.filter(F.col("members") > length)
+        leaders = large.groupBy(F.col("s").alias("t")).agg(F.min(F.struct("alone", "doc_id")).alias("l")).select("t", F.col("l.doc_id").alias("b"))
+        led = large.join(leaders, F.col("s") == F.col("t")).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+        if known is not None:
+            led = led.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        led = stage(_compared(led, sets, share), "led")
+        links = _compared(pairs, sets, share).filter("linked").select("a", "b").unionByName(led.filter("linked").select("a", "b"))
+        if labels is not None:
+            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = connected_components(links)
+        if led.isEmpty():
+            return labels
+        # Leaders with new members that are in another component than themselves.
+        named = lambda column, as_: labels.select(F.col("node").alias(column), F.col("component").alias(as_))  # noqa: E731, B023
+        known = led if known is None else known.unionByName(led)
+        fresh = led.select(F.col("b").alias("leader")).distinct()
+        mine = known.join(fresh, F.col("b") == F.col("leader"), "left_semi").join(named("a", "ca"), "a", "left").join(named("b", "cb"), "b", "left")
+        mine = mine.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
+        split = mine.filter("ca <> cb").select(F.col("b").alias("leader")).distinct()
+        mine = stage(mine.join(split, F.col("b") == F.col("leader"), "left_semi"), "led-open")
+        # Members that are smaller than the leader, against those that do not link with it.
+        less = mine.filter("na < nb").select(F.col("a").alias("y"), F.col("b").alias("l"), F.col("na").alias("ny"), F.col("common").alias("cy"), F.col("ca").alias("component"))
+        both = F.least("common", "cy")
+        close = mine.filter("not linked").join(less, (F.col("b") == F.col("l")) & (F.col("ca") != F.col("component")) & (100 * both >= share * (F.col("na") + F.col("ny") - both)))
+        close = stage(close.select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("b")).distinct(), "close")
+        again = mine.select("a", "ca", F.col("b").alias("leader"), F.explode("rest").alias("token")).withColumn("s", F.xxhash64("leader", "token"))
+        spans = again.groupBy(F.col("s").alias("t")).agg(F.min("ca").alias("c1"), F.max("ca").alias("c2")).filter("c1 <> c2").select("t")
+        postings = again.join(spans, F.col("s") == F.col("t"), "left_semi").select("s", F.col("a").alias("member"), F.col("ca").alias("component")).distinct()
+        postings = postings.join(able, "member").select("s", F.col("member").alias("doc_id"), "n", "alone", "component")
 
 
 def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words_each: int = 5, share: int = 80, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -264,8 +317,8 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
     sent = texts.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(_send(words_each, buckets), "bucket int, block int, tokens binary, texts binary")
     levels = sent.groupBy("bucket").applyInArrow(_frequencies, "block int, bucket int, levels binary")
     messages = reps.select("block", F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("levels")).unionByName(levels.select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "bucket", "levels"))
-    found = texts.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(_candidates(words_each, buckets, share), "doc_id long, n long, tokens array<long>, signatures array<long>")
+    found = texts.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(_candidates(words_each, buckets, share), "doc_id long, n long, alone long, tokens array<long>, signatures array<long>")
     found = stage(found, "join-candidates")
-    links = connected_components(_links(found, share))
+    links = _links(found, share)
     named = members.join(links, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("member"), F.coalesce("component", "rep").alias("component_id")).distinct()
     return sized.join(named, F.col("doc_id") == F.col("member"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
