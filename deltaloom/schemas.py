@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 STATUSES = ("Added", "Modified", "Deleted", "Renamed")
 LINE_KINDS = ("Context", "Added", "Removed", "Moved", "MovedEdited")
 HUNK_KINDS = ("NewLogic", "ModifiedLogic", "ImportOnly", "WhitespaceOnly", "Moved", "MovedWithEdits")
@@ -11,8 +9,8 @@ CHANGE_KINDS = ("Added", "Deleted", "SignatureChanged", "BodyChanged")
 SEVERITIES = ("Error", "Warning", "Info")
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL("change_id string, " + ddl)
+def _schema(ddl: str) -> str:
+    return "change_id string, " + ddl
 
 
 FILES = _schema("file_idx int, path string, old_path string, status string, additions long, deletions long")
@@ -22,10 +20,10 @@ IMPORTS = _schema("path string, import_idx int, source string, names array<strin
 EXPORTS = _schema("path string, export_idx int, name string, kind string, source string")
 FUNCTIONS = _schema("path string, function_idx int, name string, params array<string>, return_type string, line int")
 EDGES = _schema("src string, dst string, edge_no long")
-COMMITS = T.StructType.fromDDL("sha string, ts timestamp, author string, path string")
-ROUNDS = T.StructType.fromDDL("branch string, version int, sha string, timestamp timestamp, files_viewed array<string>, notes_count long")
-NOTES = T.StructType.fromDDL("branch string, id string, file string, line int, content string, created_at timestamp")
-CHECKLIST = T.StructType.fromDDL("branch string, path string, text string, checked boolean, source_pattern string")
-PULL_REQUESTS = T.StructType.fromDDL(
+COMMITS = ("sha string, ts timestamp, author string, path string")
+ROUNDS = ("branch string, version int, sha string, timestamp timestamp, files_viewed array<string>, notes_count long")
+NOTES = ("branch string, id string, file string, line int, content string, created_at timestamp")
+CHECKLIST = ("branch string, path string, text string, checked boolean, source_pattern string")
+PULL_REQUESTS = (
     "number long, title string, author string, state string, draft boolean, head_branch string, base_branch string, url string, created_at timestamp, updated_at timestamp, additions long, deletions long, review_status string, labels array<string>"
 )
