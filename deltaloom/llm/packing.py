@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,51 +20,84 @@ from .textblocks import flat
 #: The id that ends each document.
 END_ID = 0
 #: Distinct words, and ids in all, that a worker remembers before it starts over.
-CACHED_WORDS, CACHED_IDS = 600_000, 8_000_000
+CACHED_WORDS, CACHED_IDS = 1_200_000, 16_000_000
 #: Pieces of one length that are ranked in one task, about.
 RANK_ROWS = 20_000
 
 
-class WordEncoder:
+#: Whole chunks, lower-cased, of printable ASCII and Latin letters (which no normal form changes), and their parts as the
+#: tokenizer's own pattern splits them: contractions, letters, single digits, all else.
+PLAIN = re.compile("[!-~\u00df-\u00f6\u00f8-\u024f]+").fullmatch
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u024f]+").findall
+
+
+def byte_symbols() -> list[str]:
+    """How byte-level vocabularies write each byte: as the character of that number if it is visible in Latin-1, else
+    by its turn as characters from 256 on."""
+    turn = iter(range(256, 512))
+    return [chr(i) if 33 <= i <= 126 or 161 <= i <= 255 and i != 173 else chr(next(turn)) for i in range(256)]
+
+
+SHOWN = byte_symbols()
+
+
+class WordEncoder(dict[bytes, int]):
     """Encodes white-space separated chunks one by one and remembers them. This equals encoding whole texts for a
-    tokenizer that drops white space and whose normaliser and splits never look across it."""
+    tokenizer that drops white space and whose normaliser and splits never look across it. Plain chunks go to the
+    tokenizer's model part by part, which is faster; others through the whole tokenizer."""
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.parts: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.slots: dict[bytes, int] = {}
+        self.clear()
+        if len(self.parts) > CACHED_WORDS // 2:
+            self.parts.clear()
         self.pool, self.starts, self.sizes = array("I"), array("q"), array("i")
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        new = [c for c in dict.fromkeys(chunks) if c not in self.slots]
-        for c, found in zip(new, self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False), strict=True):
-            ids = found.ids
-            self.slots[c] = len(self.starts)
-            self.starts.append(len(self.pool))
-            self.sizes.append(len(ids))
-            self.pool.extend(ids)
+    def _ids(self, chunk: str) -> list[int] | None:
+        """Ids of a chunk that is plain after lower-casing, from those of its parts; None for others."""
+        lower = chunk.lower()
+        if not PLAIN(lower) or "<|" in chunk:
+            return None
+        out: list[int] = []
+        for part in PART(lower):
+            found = self.parts.get(part)
+            if found is None:
+                shown = part if part.isascii() else "".join([SHOWN[x] for x in part.encode()])
+                found = self.parts[part] = [t.id for t in self.model.tokenize(shown)]
+            out += found
+        return out
+
+    def __missing__(self, chunk: bytes) -> int:
+        """The place of a chunk that is not remembered yet: it is encoded now."""
+        text = chunk.decode()
+        ids = self._ids(text)
+        if ids is None:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        slot = self[chunk] = len(self.starts)
+        self.starts.append(len(self.pool))
+        self.sizes.append(len(ids))
+        self.pool.extend(ids)
+        return slot
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, END_ID after each text, and how many each text has."""
-        if len(self.slots) > CACHED_WORDS or len(self.pool) > CACHED_IDS:
+        if len(self) > CACHED_WORDS or len(self.pool) > CACHED_IDS:
             self._clear()
         chunks: list[bytes] = []
         marks = np.empty(len(texts), np.int64)
         for i, t in enumerate(texts):
             chunks += t.split()
             marks[i] = len(chunks)
-        get = self.slots.get
-        slots = [get(c) for c in chunks]
-        if None in slots:
-            self._learn([c for c, s in zip(chunks, slots, strict=True) if s is None])
-            get = self.slots.get
-            slots = [get(c) for c in chunks]
-        at = np.array(slots, np.int64)
+        at = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
         pool, starts, sizes = np.frombuffer(self.pool, np.uint32), np.frombuffer(self.starts, np.int64), np.frombuffer(self.sizes, np.int32).astype(np.int64)
         n, begin = sizes[at], starts[at]
         ends = np.cumsum(n)
