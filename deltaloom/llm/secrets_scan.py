@@ -163,9 +163,10 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str,
             form = int(rng.integers(6))
             value = (lambda: chars(hexa, 32, 64), lambda: chars(low + high + digits, 20, 64), lambda: "AKIA" + chars(high + digits, 16, 16), lambda: "ghp_" + chars(low + high + digits, 36, 36), lambda: "sk_live_" + chars(low + high + digits, 24, 24), lambda: chars(low + high + digits + "+/", 24, 48))[form]()
             kind = {2: "aws_key", 3: "github_token", 4: "stripe_key"}.get(form, "entropy")
-            quote = pick(('"', "'", "", '"'))
-            before += pick(RISKY_WORDS) + pick((" = ", ": ", "=", " ")) + quote
-            after = quote + after
+            if kind == "entropy" or rng.random() < 0.5:  # keys of known formats also stand alone
+                quote = pick(('"', "'", "", '"'))
+                before += pick(RISKY_WORDS) + pick((" = ", ": ", "=", " ")) + quote
+                after = quote + after
             path = pick(("src/app", "config/prod", "deploy/env", "web", "crawl", "src7", "notes"))
         else:
             form = int(rng.integers(9))
