@@ -20,9 +20,9 @@ from .textblocks import flat
 #: The id that ends each document.
 END_ID = 0
 #: Distinct words, and ids in all, that a worker remembers before it starts over.
-CACHED_WORDS, CACHED_IDS = 1_200_000, 16_000_000
+CACHED_WORDS, CACHED_IDS = 900_000, 12_000_000
 #: Pieces of one length that are ranked in one task, about.
-RANK_ROWS = 20_000
+RANK_ROWS = 500
 
 
 #: Whole chunks, lower-cased, of printable ASCII and Latin letters (which no normal form changes), and their parts as the
@@ -53,7 +53,7 @@ class WordEncoder(dict[bytes, int]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -62,30 +62,30 @@ class WordEncoder(dict[bytes, int]):
             self.parts.clear()
         self.pool, self.starts, self.sizes = array("I"), array("q"), array("i")
 
-    def _ids(self, chunk: str) -> list[int] | None:
-        """Ids of a chunk that is plain after lower-casing, from those of its parts; None for others."""
+    def _ids(self, chunk: str) -> bytes | None:
+        """Ids (four bytes each) of a chunk that is plain after lower-casing, from those of its parts; None for others."""
         lower = chunk.lower()
         if not PLAIN(lower) or "<|" in chunk:
             return None
-        out: list[int] = []
+        out = []
         for part in PART(lower):
             found = self.parts.get(part)
             if found is None:
                 shown = part if part.isascii() else "".join([SHOWN[x] for x in part.encode()])
-                found = self.parts[part] = [t.id for t in self.model.tokenize(shown)]
-            out += found
-        return out
+                found = self.parts[part] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            out.append(found)
+        return b"".join(out)
 
     def __missing__(self, chunk: bytes) -> int:
         """The place of a chunk that is not remembered yet: it is encoded now."""
         text = chunk.decode()
         ids = self._ids(text)
         if ids is None:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         slot = self[chunk] = len(self.starts)
         self.starts.append(len(self.pool))
-        self.sizes.append(len(ids))
-        self.pool.extend(ids)
+        self.sizes.append(len(ids) >> 2)
+        self.pool.frombytes(ids)
         return slot
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -199,22 +199,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= threshold) of each row, from its whole text; carry names
-    columns of docs to keep beside them. Empty and null texts have the score of no evidence. Repeated rows
+    columns of docs to keep beside them, as _c0, _c1 and so on. Empty and null texts have the score of no evidence. Repeated rows
     are scored each; an empty table gives an empty result. The model is bounded by MAX_EXPRESSIONS and broadcast."""
     spark = docs.sparkSession
     arrow_batches(spark)
     held = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"), fold(doc_id).cast("int").alias("_fold"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"), fold(doc_id).cast("int").alias("_fold"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry) if c != text))
     schema = "doc_id long, held_out boolean, score double, predicted int"
-    kinds = rows.schema.fields[3:]
-    for f in kinds:
-        schema += f", {f.name} {f.dataType.simpleString()}"
+    for i, c in enumerate(carry):
+        schema += f", _c{i} {docs.schema[c].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = held.value.score(batch.column("_text"))
             held_out = pa.array(batch.column("_fold").to_numpy(zero_copy_only=False) == 2)
-            extra = batch.column_names[3:]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), held_out, pa.array(s), pa.array((s >= threshold).astype(np.int32)), *(batch.column(c) for c in extra)], ["doc_id", "held_out", "score", "predicted", *extra])
+            extra = [batch.column("_text" if c == text else f"_c{i}") for i, c in enumerate(carry)]  # the text came once
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), held_out, pa.array(s), pa.array((s >= threshold).astype(np.int32)), *extra], ["doc_id", "held_out", "score", "predicted", *(f"_c{i}" for i in range(len(carry)))])
 
     return rows.mapInArrow(run, schema)
