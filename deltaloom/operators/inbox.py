@@ -53,12 +53,23 @@ def inbox(prs: DataFrame, user: str) -> DataFrame:
     return prs.withColumn("box", F.when(F.col("author") == user, "mine").otherwise("review"))
 
 
-def line(now: Column, width: int = 50) -> Column:
-    """A pull request as a line of a list: number, title, author, review, sizes if both are known, draft, age."""
-    review = F.when(F.col("review_status").isin("Approved", "ChangesRequested", "Pending"), F.concat(F.lit(" ["), F.col("review_status"), F.lit("]"))).otherwise("")
-    sizes = F.when(F.col("additions").isNotNull() & F.col("deletions").isNotNull(), F.format_string(" +%d/-%d", "additions", "deletions")).otherwise("")
+#: How the state of a review is shown.
+REVIEW_TAGS = {"Approved": "[approved]", "ChangesRequested": "[changes]", "Pending": "[pending]"}
+
+
+def _padded(c: Column, width: int, left: bool) -> Column:
+    """c with blanks on its left or right up to width; never cut."""
+    blanks = F.repeat(F.lit(" "), F.greatest(F.lit(0), F.lit(width) - F.length(c)))
+    return F.concat(blanks, c) if left else F.concat(c, blanks)
+
+
+def line(now: Column, width: int = 40) -> Column:
+    """A pull request as a line of the list: number, title, review, sizes if both are known, age, draft."""
+    tag = F.coalesce(*(F.when(F.col("review_status") == k, v) for k, v in REVIEW_TAGS.items()), F.lit("[no review]"))
+    sizes = F.when(F.col("additions").isNotNull() & F.col("deletions").isNotNull(), F.format_string("+%d/-%d", "additions", "deletions")).otherwise("")
     draft = F.when(F.col("draft"), " (draft)").otherwise("")
-    return F.concat(F.format_string("#%d ", "number"), F.rpad(truncate(F.col("title"), width), width, " "), F.lit(" @"), F.col("author"), review, sizes, draft, F.lit(" "), age(F.col("updated_at"), now))
+    cells = [_padded(F.col("number").cast("string"), 5, False), _padded(truncate(F.col("title"), width), width, False), _padded(tag, 12, True), _padded(sizes, 10, True), _padded(age(F.col("updated_at"), now), 6, True)]
+    return F.concat(F.lit("  #"), F.concat_ws(" ", *cells), draft)
 
 
 def repository_of(url: Column) -> Column:

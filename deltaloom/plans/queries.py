@@ -327,8 +327,8 @@ def inbox_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inbox.inbox(inbox.list_pull_requests(A.pull_requests(spark, sf_dir), page=None), "7").select("number", "author", "box")
 
 
-@query(f"""WITH {PRS_SQL}, aged AS (SELECT *, CAST(floor((epoch_us(TIMESTAMP '2000-01-01') - epoch_us(updated_at)) / 60000000) AS BIGINT) AS m FROM prs)
- SELECT number, concat('#', number, ' ', rpad(CASE WHEN length(title) <= 20 THEN title ELSE concat(left(title, 17), '...') END, 20, ' '), ' @', author, CASE WHEN additions IS NOT NULL AND deletions IS NOT NULL THEN concat(' +', additions, '/-', deletions) ELSE '' END, CASE WHEN draft THEN ' (draft)' ELSE '' END, ' ', CASE WHEN m // 60 < 1 THEN concat(m, 'm ago') WHEN m // 60 < 24 THEN concat(m // 60, 'h ago') ELSE concat(m // 1440, 'd ago') END) AS line FROM aged""")
+@query(f"""WITH {PRS_SQL}, minutes AS (SELECT *, CAST(floor((epoch_us(TIMESTAMP '2000-01-01') - epoch_us(updated_at)) / 60000000) AS BIGINT) AS m FROM prs), aged AS (SELECT *, CASE WHEN additions IS NOT NULL AND deletions IS NOT NULL THEN concat('+', additions, '/-', deletions) ELSE '' END AS sizes, CASE WHEN m // 60 < 1 THEN concat(m, 'm ago') WHEN m // 60 < 24 THEN concat(m // 60, 'h ago') ELSE concat(m // 1440, 'd ago') END AS age FROM minutes)
+ SELECT number, concat('  #', rpad(CAST(number AS VARCHAR), CAST(greatest(5, length(CAST(number AS VARCHAR))) AS INT), ' '), ' ', rpad(CASE WHEN length(title) <= 20 THEN title ELSE concat(left(title, 17), '...') END, 20, ' '), '  [no review] ', lpad(sizes, CAST(greatest(10, length(sizes)) AS INT), ' '), ' ', lpad(age, CAST(greatest(6, length(age)) AS INT), ' '), CASE WHEN draft THEN ' (draft)' ELSE '' END) AS line FROM aged""")
 def inbox_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.pull_requests(spark, sf_dir).select("number", inbox.line(F.lit(datetime(2000, 1, 1)), 20).alias("line"))
 

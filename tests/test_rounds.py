@@ -99,7 +99,7 @@ def test_inbox(spark):
     assert rows[1].labels == ["l"] and rows[1].updated_at == NOW and rows[1].review_status == "None"
     assert [(r.number, r.box) for r in pipeline.pull_request_inbox(prs, "me").collect()] == [(1, "mine")]
     line = prs.filter("number = 1").select(inbox.line(F.lit(NOW), 4)).first()[0]
-    assert line == "#1      @me +3/-1 0m ago"
+    assert line == "  #1           [no review]      +3/-1 0m ago"
 
 
 @pytest.mark.parametrize(("url", "want"), [("git@github.com:o/r.git", ("o", "r")), ("https://github.com/o/r/", ("o", "r")), ("https://github.com/o/r.git", ("o", "r")), ("https://github.com/o/a/b", ("o", "a/b")), ("https://gitlab.com/o/r", None), ("https://github.com/o", None)])
