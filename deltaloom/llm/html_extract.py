@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import arrow_batches, stage
+from .support import arrow_batches, lean, stage
 
 #: Pages of a host that must have a node before its entropy counts as evidence.
 LEAST_PAGES = 5
@@ -68,6 +68,10 @@ class Page(HTMLParser):
         self.close()
         self._flush()
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Line numbers are not needed."""
+        return j
+
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
@@ -152,8 +156,9 @@ def importance(pages: DataFrame) -> DataFrame:
     Presentation: entropy of a node's lists of children over the pages that have it. Content: 1 less the mean
     entropy of the distinct blocks under the node, a block on k of m pages having log k / log m. Both to base m.
     """
-    seen = pages.mapInArrow(_tree, "host long, node long, kind int, feature long, pages long, branch array<long>")
-    seen = seen.groupBy("host", "node", "kind", "feature").agg(F.sum("pages").alias("k"), F.first("branch").alias("branch"))
+    seen = pages.mapInArrow(lean(_tree), "host long, node long, kind int, feature long, pages long, branch array<long>")
+    # Written, as both kinds are read: else each would parse all pages.
+    seen = stage(seen.groupBy("host", "node", "kind", "feature").agg(F.sum("pages").alias("k"), F.first("branch").alias("branch")), "style-counts")
     styles = seen.filter("kind = 0").groupBy("host", "node").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.log("k")).alias("s"))
     styles = styles.withColumn("presentation", F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0))
     blocks = seen.filter("kind = 1").select("host", F.explode("branch").alias("branch_node"), F.log("k").alias("h"))
@@ -216,4 +221,4 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
         rows = rows.withColumn("nodes", F.lit(None).cast("array<long>"))
     else:
         rows = rows.join(low.withColumnRenamed("host", "low_host"), F.col("host") == F.col("low_host"), "left").drop("low_host")
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(_extract), "page_id long, url string, text string, n_chars long")
