@@ -24,10 +24,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; of repeated rows of it one stays."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_digest")).distinct()
+    kept = stage(exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_digest")), "pipeline-kept")
+    once = kept.distinct()
     digest = F.sha2(exact_dedup.ascii_fold(F.col("text")), 256)
     same = F.col("keep_id").eqNullSafe(F.col("doc_id")) & (F.col("keep_digest") == F.col("digest"))
-    return docs.withColumn("digest", digest).join(kept, same, "left_semi").dropDuplicates(["doc_id", "digest"]).select(*docs.columns)
+    left = docs.withColumn("digest", digest).join(once, same, "left_semi")
+    if kept.count() > once.count():  # only then texts are shuffled once more
+        left = left.dropDuplicates(["doc_id", "digest"])
+    return left.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

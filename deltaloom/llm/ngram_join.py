@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .support import arrow_batches, block_count, block_of, stage
+from .support import arrow_batches, block_count, block_of, lean, stage
 from .textblocks import M1, M4, U, distinct_in_texts, flat, mix, pack_sorted, shingles, unpack_sorted, word_hashes, words
 
 #: Bytes of text in a block, which is what one task holds at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Bytes of text whose words are hashed at once.
 PART_BYTES = 1 << 19
 #: Token classes: from so many texts on, tokens are indexed by combinations of so many.
@@ -307,17 +307,17 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sized = stage(rows.mapInArrow(_digests(words_each), "doc_id long, n_shingles long, d1 long, d2 long"), "shingle-digests")
+    sized = stage(rows.mapInArrow(lean(_digests(words_each)), "doc_id long, n_shingles long, d1 long, d2 long"), "shingle-digests")
     real = sized.filter("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     members = real.join(classes.select(F.col("n_shingles").alias("n_"), F.col("d1").alias("d1_"), F.col("d2").alias("d2_"), "rep"), (F.col("n_shingles") == F.col("n_")) & (F.col("d1") == F.col("d1_")) & (F.col("d2") == F.col("d2_"))).select("doc_id", "rep")
     blocks = buckets = block_count(docs, block_bytes, text)
     reps = stage(classes.select(F.col("rep").alias("doc_id")).withColumn("block", block_of("doc_id", blocks)), "shingle-reps")
     texts = rows.withColumn("block", block_of("doc_id", blocks)).filter("doc_id is not null")
-    sent = texts.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(_send(words_each, buckets), "bucket int, block int, tokens binary, texts binary")
-    levels = sent.groupBy("bucket").applyInArrow(_frequencies, "block int, bucket int, levels binary")
+    sent = texts.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(lean(_send(words_each, buckets)), "bucket int, block int, tokens binary, texts binary")
+    levels = sent.groupBy("bucket").applyInArrow(lean(_frequencies), "block int, bucket int, levels binary")
     messages = reps.select("block", F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("levels")).unionByName(levels.select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "bucket", "levels"))
-    found = texts.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(_candidates(words_each, buckets, share), "doc_id long, n long, alone long, tokens array<long>, signatures array<long>")
+    found = texts.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(lean(_candidates(words_each, buckets, share)), "doc_id long, n long, alone long, tokens array<long>, signatures array<long>")
     found = stage(found, "join-candidates")
     links = _links(found, share)
     named = members.join(links, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("member"), F.coalesce("component", "rep").alias("component_id")).distinct()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import arrow_batches, stage
+from .support import arrow_batches, lean, stage
 from .textblocks import flat
 
 #: The id that ends each document.
@@ -200,7 +200,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, limit: int = 2048, doc_id: str
     spark = docs.sparkSession
     arrow_batches(spark)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    found = stage(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_pieces(tokenizer_path, limit, with_ids), schema), "pack-pieces")
+    found = stage(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(_pieces(tokenizer_path, limit, with_ids)), schema), "pack-pieces")
     counts = {int(r["length"]): int(r["n"]) for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan, _ = best_fit_plan(counts, limit)
     buckets = max(1, math.ceil(sum(counts.values()) / RANK_ROWS))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import arrow_batches
+from .support import arrow_batches, lean, stage
 from .textblocks import M1, M4, U, flat, mix, word_hashes, words
 
 #: Labelled rows that the models are fitted on at most, by order of a hash; all of fewer.
@@ -148,8 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     if n > max_labelled:  # an even sample by hash; 2 ** 20 steps
         marks = marks.filter(F.pmod(F.xxhash64("mark_id", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * max_labelled / n))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(marks), F.col("doc_id") == F.col("mark_id")).select("text", "toxic", "fold")
-    counted = rows.filter("fold < 2").select("text", "toxic").mapInArrow(_count, "key long, word long, pair boolean, n long, t long")
-    counted = counted.groupBy("key", "word", "pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).persist()
+    counted = rows.filter("fold < 2").select("text", "toxic").mapInArrow(lean(_count), "key long, word long, pair boolean, n long, t long")
+    counted = counted.groupBy("key", "word", "pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    counted = stage(counted, "expressions")
     sums = {r["pair"]: r for r in counted.groupBy("pair").agg(F.count("*").alias("types"), F.sum("n").alias("n"), F.sum("t").alias("t")).collect()}
     empty = np.empty(0, np.uint64), np.empty(0)
     model = Model(*empty, *empty, np.zeros(5))
@@ -181,14 +182,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         alone = _look_up(model.word_keys, model.word_ratio, np.array([words_of[k] for k in model.pair_keys.view(np.int64).tolist()], np.int64).view(np.uint64))
         more = np.abs(model.pair_ratio) > np.abs(alone)
         model.pair_keys, model.pair_ratio = model.pair_keys[more], model.pair_ratio[more]
-    counted.unpersist()
     held = spark.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in held.value.features(batch.column("text")).T), batch.column("toxic")], [*"abcde", "toxic"])
 
-    shown = rows.filter("fold = 3").select("text", "toxic").mapInArrow(features, "a double, b double, c double, d double, e double, toxic int").toPandas()
+    shown = rows.filter("fold = 3").select("text", "toxic").mapInArrow(lean(features), "a double, b double, c double, d double, e double, toxic int").toPandas()
     if shown["toxic"].nunique() == 2:
         model.weights = _logistic(shown[list("abcde")].to_numpy(), shown["toxic"].to_numpy(float))
     else:
@@ -216,4 +216,4 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
             extra = [batch.column("_text" if c == text else f"_c{i}") for i, c in enumerate(carry)]  # the text came once
             yield pa.RecordBatch.from_arrays([batch.column("_id"), held_out, pa.array(s), pa.array((s >= threshold).astype(np.int32)), *extra], ["doc_id", "held_out", "score", "predicted", *(f"_c{i}" for i in range(len(carry)))])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
