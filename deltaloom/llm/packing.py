@@ -20,7 +20,7 @@ from .textblocks import flat
 #: The id that ends each document.
 END_ID = 0
 #: Distinct words, and ids in all, that a worker remembers before it starts over.
-CACHED_WORDS, CACHED_IDS = 900_000, 12_000_000
+CACHED_WORDS, CACHED_IDS = 500_000, 6_000_000
 #: Pieces of one length that are ranked in one task, about.
 RANK_ROWS = 500
 
