@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -127,38 +126,41 @@ class Page(HTMLParser):
 
 
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch, merged by host: in how many pages a node has a list of children (kind 0) or a block (kind 1)."""
+    """Per batch and page of a host: that a node has a list of children (kind 0) or a block (kind 1). A page is a digest
+    of all that it would count, so that its copies are one page. Noise is not counted, as it goes anyway."""
     for batch in batches:
-        counts: Counter[tuple[int, int, int, int]] = Counter()
+        found: set[tuple[int, int, int, int, int]] = set()
         above: dict[int, list[int]] = {}
         keys: dict[tuple[str, ...], int] = {}
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             page = Page(html or "")
-            found = set()
+            mine = set()
             for branch, names in page.children.items():
                 if branch not in keys:
                     node = keys[branch] = key("\0".join(branch))
                     above[node] = [key("\0".join(branch[:i])) for i in range(1, len(branch) + 1)]
-                found.add((host, keys[branch], 0, key("\0".join(names))))
-            for text, branch, _, _ in page.blocks:
-                if branch in keys:
-                    found.add((host, keys[branch], 1, key(text)))
-            counts.update(found)
-        rows = [(*k, n, above[k[1]]) for k, n in counts.items()]
+                mine.add((keys[branch], 0, key("\0".join(names))))
+            for text, branch, _, noise in page.blocks:
+                if branch in page.children and not noise:
+                    mine.add((keys[branch], 1, key(text)))
+            same = key(repr(sorted(mine)))
+            found.update((host, *x, same) for x in mine)
+        rows = [(*x, above[x[1]] if x[2] else None) for x in found]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)], ["host", "node", "kind", "feature", "pages", "branch"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)], ["host", "node", "kind", "feature", "page", "branch"])
 
 
 def importance(pages: DataFrame) -> DataFrame:
     """(host, node, pages, importance) of the site style trees of pages (host, html), from 0 (the same on
-    all pages) to 1 (another on each page, or one page only).
+    all pages) to 1 (another on each page, or one page only). Copies of a page count as one page.
 
     Presentation: entropy of a node's lists of children over the pages that have it. Content: 1 less the mean
     entropy of the distinct blocks under the node, a block on k of m pages having log k / log m. Both to base m.
     """
-    seen = pages.mapInArrow(lean(_tree), "host long, node long, kind int, feature long, pages long, branch array<long>")
+    seen = pages.mapInArrow(lean(_tree), "host long, node long, kind int, feature long, page long, branch array<long>")
+    seen = seen.groupBy("host", "node", "kind", "feature", "page").agg(F.first("branch").alias("branch"))  # copies fold
     # Written, as both kinds are read: else each would parse all pages.
-    seen = stage(seen.groupBy("host", "node", "kind", "feature").agg(F.sum("pages").alias("k"), F.first("branch").alias("branch")), "style-counts")
+    seen = stage(seen.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("k"), F.first("branch").alias("branch")), "style-counts")
     styles = seen.filter("kind = 0").groupBy("host", "node").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.log("k")).alias("s"))
     styles = styles.withColumn("presentation", F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0))
     blocks = seen.filter("kind = 1").select("host", F.explode("branch").alias("branch_node"), F.log("k").alias("h"))
@@ -207,7 +209,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     decoded, white space inside a block becomes one space, blocks are joined by an empty line.
 
     Defined results: null html is empty, its text is empty; pages without a host in their url form one
-    host; repeated rows count each; null page_id and url are kept; an empty table gives an empty result; other columns
+    host; repeated rows have a result each, but copies of a page of a host are one page of its tree; null page_id and url are kept; an empty table gives an empty result; other columns
     are ignored. The trees are counted in pieces (host, node, block), so a hot host is no hot key; the join by
     host is plain, so that Spark broadcasts low branches where they are few and can split a hot host otherwise.
     """

@@ -115,6 +115,15 @@ def test_style_tree(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_copies_of_a_page_are_no_boilerplate(spark):
+    page = lambda i, t=0: f"<html><head><script>t({t})</script></head><body><div class='bar'>Bar</div><div id='post-{i}'><p>Own text {i}</p><p>and {i * i}</p></div></body></html>"
+    rows = [(i, "http://one.org/a", page(42, i)) for i in range(6)]  # a host of copies only, but for their scripts
+    rows += [(10 + i, f"http://two.org/{i}", page(i)) for i in range(6)] + [(20 + i, "http://two.org/7", page(7)) for i in range(6)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert {got[i] for i in range(6)} == {"Bar\n\nOwn text 42\n\nand 1764"}
+    assert {got[20 + i] for i in range(6)} == {"Own text 7\n\nand 49"} and got[13] == "Own text 3\n\nand 9"
+
+
 @needs_tables
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, name):
