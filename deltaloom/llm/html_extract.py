@@ -23,6 +23,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 INLINE_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre caption figcaption legend summary".split())
 SILENT = frozenset("head script style noscript template svg math iframe object canvas audio video select option datalist textarea button form nav footer aside dialog menu search title".split())
+CLOSED = SILENT - BLOCK
+SHOWN = CLOSED - {"script", "style", "noscript", "template", "datalist"}
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LISTS = frozenset("ul ol menu dl table".split())
 # Words in class or id, and roles, that name something other than the article.
@@ -75,12 +77,12 @@ class Page(HTMLParser):
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
-            self.blocks.append((text, *self.open[-1][1:]))
+            self.blocks.append((text, *next(x for x in reversed(self.open) if not x[3])[1:]))  # noise gathers no text
 
     def _end(self, tag: str, stop: frozenset[str] = frozenset()) -> None:
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
-                if any(x[0] in BLOCK for x in self.open[i:]):
+                if any(x[0] in BLOCK and not x[3] for x in self.open[i:]):
                     self._flush()
                 del self.open[i:]
                 return
@@ -89,10 +91,11 @@ class Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
-            self._flush()
-            self._end("p")
+            self._end("p", CLOSED)
             for other in ENDS.get(tag, ()):
-                self._end(other, LISTS)
+                self._end(other, LISTS | CLOSED)
+            if not self.open[-1][3]:
+                self._flush()
         if tag == "br":
             self.parts.append(" ")
         if tag in VOID:
@@ -100,6 +103,8 @@ class Page(HTMLParser):
         attributes = dict(attrs)
         _, branch, in_article, noise = self.open[-1]
         noise = noise or _is_noise(tag, attributes, in_article)
+        if tag in SHOWN:
+            self.parts.append(" ")  # a control stands between the words around it
         if tag in BLOCK or tag in SILENT:
             name = _signature(tag, attributes)
             seen = self.children.setdefault(branch, [])
@@ -122,7 +127,8 @@ class Page(HTMLParser):
         self._end(tag, frozenset() if tag in BLOCK or tag in SILENT else INLINE_BLOCK)
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+        if not self.open[-1][3]:
+            self.parts.append(data)
 
 
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

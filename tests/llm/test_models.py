@@ -105,6 +105,23 @@ def test_main_text():
         assert html_extract.main_text(html, set(), {}) in ("", "<", "<p")
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<article><p>One</p><script>track(1)</script><p>Two</p></article>", "One\n\nTwo"),
+        ("<article>One <style>p{}</style>and<template><p>no</p></template> two<noscript>no</noscript></article>", "One and two"),
+        ("<p>a <button>Share</button> b</p>", "a b"),
+        ("<p>a <button><div>Share</div></button> b</p>", "a b"),
+        ("<p>a <button>Share</p><p>b</p><ul><li class='ad'>Buy<li>c</ul>", "a\n\nb\n\nc"),
+        ("<p>a<button>Share</button>b<script>x</script>c</p>", "a bc"),
+        ("<article><p>a <select><option>x<option>y</select> b <textarea>no</textarea> <svg><text>no</text></svg></p></article>", "a b"),
+        ("<article><p>One <span class='ad'>Buy <b>now</b></span> two</p><p>Three</p></article>", "One two\n\nThree"),
+    ],
+)
+def test_main_text_without_scripts_and_controls(html, want):
+    assert html_extract.main_text(html, set(), {}) == want
+
+
 def test_style_tree(spark):
     page = lambda i: f"<html><body><div class='x'><span>Same everywhere</span></div><div class='y'><p>Own text number {i}</p><p>and {i * i}</p></div></body></html>"
     rows = [(i, "https://h.example/a", page(i), 1) for i in range(8)] + [(100 + i, f"https://one{i}.example/", page(i), 1) for i in range(3)] + [(200, None, None, 1)]
