@@ -31,8 +31,10 @@ LISTS = frozenset("ul ol menu dl table".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar widget related recommended share sharing social comment comments reply replies disqus footer header masthead copyright newsletter subscribe signup login form search pagination pager skip".split()
 )
+BESIDE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup newsletter subscribe disqus share sharing social comment comments".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 PROTECTED = frozenset("html body main article".split())
+NONE: frozenset[str] = frozenset()
 
 
 def _signature(tag: str, attributes: dict[str, str | None]) -> str:
@@ -43,12 +45,16 @@ def _signature(tag: str, attributes: dict[str, str | None]) -> str:
 def _is_noise(tag: str, attributes: dict[str, str | None], in_article: bool) -> bool:
     if tag in SILENT or "hidden" in attributes or (attributes.get("role") or "").lower() in NOISE_ROLES:
         return True
-    if tag == "header":
-        return not in_article
-    if tag in ("html", "body", "main"):
-        return False
-    words = re.split(r"[^a-z0-9]+", f"{attributes.get('class') or ''} {attributes.get('id') or ''}".lower())
-    return not NOISE_WORDS.isdisjoint(words)
+    return tag == "header" and not in_article
+
+
+def _marks(tag: str, attributes: dict[str, str | None], in_article: bool) -> frozenset[str]:
+    """The names in class and id that hold a noise word. An article has a header of its own."""
+    if tag in PROTECTED or tag == "header" or not (attributes.get("class") or attributes.get("id")):
+        return NONE
+    words = NOISE_WORDS - {"header"} if in_article else NOISE_WORDS
+    names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}".lower().split()
+    return frozenset(x for x in names if not words.isdisjoint(re.split(r"[^a-z0-9]+", x)))
 
 
 def key(value: str) -> int:
@@ -56,28 +62,55 @@ def key(value: str) -> int:
 
 
 class Page(HTMLParser):
-    """The blocks of a page (text, branch of container nodes, in an article, noise by its markup) and the containers'
-    children. Implied ends are supplied; unknown end tags are ignored."""
+    """The blocks of a page (text, branch of container nodes, in an article) and the containers' children, both
+    without noise. Implied ends are supplied; unknown end tags are ignored.
+
+    A name in class or id that holds a noise word marks noise, unless its elements hold more than half of the page's
+    text, or of the text of its articles: then it names a layout (no-sidebar, menu-closed), and marks nothing there. A
+    name of what stands beside an article (ad) marks it however short the article is.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, tuple[str, ...], bool, bool]] = []
+        self.blocks: list[tuple[str, tuple[str, ...], bool]] = []
         self.children: dict[tuple[str, ...], list[str]] = {}
-        self.open: list[tuple[str, tuple[str, ...], bool, bool]] = [("", (), False, False)]  # tag, branch, in article, noise
-        self.parts: list[str] = []
+        #: Blocks as found, in parts (text, names that may mark noise), and children with such names.
+        self.found: list[tuple[list[tuple[str, frozenset[str]]], tuple[str, ...], bool]] = []
+        self.nodes: dict[tuple[str, ...], tuple[list[tuple[str, frozenset[str]]], frozenset[str]]] = {}
+        self.open: list[tuple[str, tuple[str, ...], bool, bool, frozenset[str]]] = [("", (), False, False, NONE)]  # tag, branch, in article, noise, marks
+        self.parts: list[tuple[str, frozenset[str]]] = []
         self.feed(html)
         self.close()
         self._flush()
+        self._settle()
+
+    def _settle(self) -> None:
+        total, sums = [0, 0], {}
+        for parts, _, in_article in self.found:
+            for text, marks in parts:
+                n = len(text) - text.count(" ")
+                for held in (total, *(sums.setdefault(x, [0, 0]) for x in marks)):
+                    held[0] += n
+                    held[1] += n * in_article
+        noise = {x for x, held in sums.items() if 2 * held[1] <= total[1] and (2 * held[0] <= total[0] or (x in BESIDE and total[1]))}
+        for parts, branch, in_article in self.found:
+            text = " ".join("".join(" " if marks and not noise.isdisjoint(marks) else x for x, marks in parts).split())
+            if text:
+                self.blocks.append((text, branch, in_article))
+        for branch, (names, marks) in self.nodes.items():
+            if noise.isdisjoint(marks):
+                left = [x for x, m in names if noise.isdisjoint(m)]
+                self.children[branch] = [x for i, x in enumerate(left) if not i or left[i - 1] != x]  # repeats of a style count once
 
     def updatepos(self, i: int, j: int) -> int:
         """Line numbers are not needed."""
         return j
 
     def _flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        self.parts.clear()
-        if text:
-            self.blocks.append((text, *next(x for x in reversed(self.open) if not x[3])[1:]))  # noise gathers no text
+        if any(not x.isspace() for x, _ in self.parts):
+            _, branch, in_article, _, _ = next(x for x in reversed(self.open) if not x[3])  # noise gathers no text
+            self.found.append((self.parts, branch, in_article))
+        self.parts = []
 
     def _end(self, tag: str, stop: frozenset[str] = frozenset()) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -97,23 +130,25 @@ class Page(HTMLParser):
             if not self.open[-1][3]:
                 self._flush()
         if tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", NONE))
         if tag in VOID:
             return
         attributes = dict(attrs)
-        _, branch, in_article, noise = self.open[-1]
+        _, branch, in_article, noise, marks = self.open[-1]
         noise = noise or _is_noise(tag, attributes, in_article)
+        if not noise and (own := _marks(tag, attributes, in_article)):
+            marks |= own
         if tag in SHOWN:
-            self.parts.append(" ")  # a control stands between the words around it
-        if tag in BLOCK or tag in SILENT:
+            self.parts.append((" ", NONE))  # a control stands between the words around it
+        if tag in BLOCK and not noise:
             name = _signature(tag, attributes)
-            seen = self.children.setdefault(branch, [])
-            if not seen or seen[-1] != name:  # repeats of a style count once
-                seen.append(name)
+            seen = self.nodes.setdefault(branch, ([], self.open[-1][4]))[0]
+            if not seen or seen[-1] != (name, marks):
+                seen.append((name, marks))
             if tag not in INLINE_BLOCK:
                 branch = (*branch, name)
-                self.children.setdefault(branch, [])
-        self.open.append((tag, branch, in_article or (tag in ("article", "main") and not noise), noise))
+                self.nodes.setdefault(branch, ([], marks))
+        self.open.append((tag, branch, in_article or (tag in ("article", "main") and not noise), noise, marks))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -122,13 +157,13 @@ class Page(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("p", "br") and not any(x[0] == tag for x in self.open):
-            self._flush() if tag == "p" else self.parts.append(" ")
+            self._flush() if tag == "p" else self.parts.append((" ", NONE))
             return
         self._end(tag, frozenset() if tag in BLOCK or tag in SILENT else INLINE_BLOCK)
 
     def handle_data(self, data: str) -> None:
         if not self.open[-1][3]:
-            self.parts.append(data)
+            self.parts.append((data, self.open[-1][4]))
 
 
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +181,8 @@ def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     node = keys[branch] = key("\0".join(branch))
                     above[node] = [key("\0".join(branch[:i])) for i in range(1, len(branch) + 1)]
                 mine.add((keys[branch], 0, key("\0".join(names))))
-            for text, branch, _, noise in page.blocks:
-                if branch in page.children and not noise:
+            for text, branch, _ in page.blocks:
+                if branch in page.children:
                     mine.add((keys[branch], 1, key(text)))
             same = key(repr(sorted(mine)))
             found.update((host, *x, same) for x in mine)
@@ -178,19 +213,19 @@ def importance(pages: DataFrame) -> DataFrame:
 
 
 def main_text(html: str | None, unimportant: set[int], cache: dict[tuple[str, ...], bool]) -> str:
-    """The blocks that are left: not noise by their markup or by the style tree, and of the article where there is one."""
+    """The blocks that are left: not noise by their markup or by the style tree, and of the article where that holds
+    half of what is left."""
     page = Page(html or "")
     kept = []
-    for text, branch, in_article, noise in page.blocks:
-        if noise:
-            continue
+    for text, branch, in_article in page.blocks:
         if unimportant and branch:
             if branch not in cache:
                 cache[branch] = any(branch[i - 1].partition(".")[0].partition("#")[0] not in PROTECTED and key("\0".join(branch[:i])) in unimportant for i in range(1, len(branch) + 1))
             if cache[branch]:
                 continue
         kept.append((text, in_article))
-    if any(in_article for _, in_article in kept):
+    inside = sum(len(text) for text, in_article in kept if in_article)
+    if inside and 2 * inside >= sum(len(text) for text, _ in kept):  # a teaser is no article
         kept = [x for x in kept if x[1]]
     return "\n\n".join(text for text, _ in kept)
 
@@ -210,8 +245,9 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     """One row per row of pages: page_id, url, text and n_chars (code points) of the main text.
 
     The DOMs of each host are merged into a style tree; branches of low importance on least_pages pages or more
-    go from each page of the host, as do those whose markup names them (navigation, advert, footer ...); html, body, main and
-    article never do. Where there is an article or main element, only it counts. Character references are
+    go from each page of the host, as do those whose markup names them (navigation, advert, footer ...), unless the
+    name is on most of the page's or its articles' text; html, body, main and article never do. Where article and main
+    elements hold half of the rest, only they count. Character references are
     decoded, white space inside a block becomes one space, blocks are joined by an empty line.
 
     Defined results: null html is empty, its text is empty; pages without a host in their url form one

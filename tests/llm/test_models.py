@@ -122,6 +122,32 @@ def test_main_text_without_scripts_and_controls(html, want):
     assert html_extract.main_text(html, set(), {}) == want
 
 
+BODY = "<p>The text of the page, which is the longest part of it by far.</p>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div class='layout no-sidebar'>{}<div class='sidebar'>Side</div></div>",
+        "<body><div id='page' class='menu-closed'><div class='menu'>Home</div><div class='search-page'>{}</div></div></body>",
+        "<article class='post comment-open'>{}<div class='comments'>No</div></article>",
+        "<div class='widget w'><div class='menu'>Home</div></div><div class='related'><article>Teaser</article></div><div class='post-widget'><article>{}</article></div>",
+        "<main><div class='search-page'>{}</div></main><div class='ad'>Buy</div>",
+    ],
+)
+def test_markup_words_do_not_remove_the_main_content(html):
+    assert html_extract.main_text(html.format(BODY), set(), {}) == BODY[3:-4]
+
+
+def test_headlines_and_teasers():
+    assert html_extract.main_text(f"<article><div class='entry-header'><h1>Head</h1></div>{BODY}</article>", set(), {}) == "Head\n\n" + BODY[3:-4]
+    assert html_extract.main_text(f"<body><article>Teaser</article><div>{BODY}</div></body>", set(), {}) == "Teaser\n\n" + BODY[3:-4]
+    assert html_extract.main_text(f"<body><div>Beside</div><article>{BODY}</article></body>", set(), {}) == BODY[3:-4]
+    assert html_extract.main_text(f"<div class='ad'>{BODY}</div><article>Short</article>", set(), {}) == "Short"
+    parts = "".join(f"<div class='el-widget'><p>Part {i}</p></div>" for i in range(4))
+    assert html_extract.main_text(f"<div>{parts}</div>", set(), {}) == "Part 0\n\nPart 1\n\nPart 2\n\nPart 3"
+
+
 def test_style_tree(spark):
     page = lambda i: f"<html><body><div class='x'><span>Same everywhere</span></div><div class='y'><p>Own text number {i}</p><p>and {i * i}</p></div></body></html>"
     rows = [(i, "https://h.example/a", page(i), 1) for i in range(8)] + [(100 + i, f"https://one{i}.example/", page(i), 1) for i in range(3)] + [(200, None, None, 1)]
