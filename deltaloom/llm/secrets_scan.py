@@ -31,8 +31,11 @@ RISKY_WORDS = ("token", "secret", "password", "passwd", "pwd", "key", "apikey",
 HARMLESS_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "hash", "checksum", "digest", "uuid", "guid", "revision", "version", "etag", "id", "order", "invoice", "card", "phone", "url", "http", "https", "www", "example", "sample", "dummy", "test", "placeholder", "changeme")
 HARMLESS_PATHS = ("test", "tests", "example", "examples", "docs", "doc", "fixtures", "sample", "samples", "vendor", "lock", "dist")
 
-#: Runs of key characters with both digits and letters, or whatever a risky word is assigned to.
-CANDIDATE = re.compile("|".join([*(f"(?P<{name}>{pattern})" for name, pattern in FORMATS), r"(?P<assigned>(?<=[=:]) ?[\"'][^\s\"']{8,200}[\"'])", r"(?P<entropy>(?<![0-9A-Za-z+/_@.-])(?=[A-Za-z+/_-]*[0-9])[0-9A-Za-z+/_-]{16,200}(?![0-9A-Za-z+/_@-]))"]))
+#: Runs of key characters with a digit, and quoted values that are assigned; of any length. Possessive, so that no run is read twice.
+CANDIDATE = re.compile("|".join([*(f"(?P<{name}>{pattern})" for name, pattern in FORMATS), r"(?P<assigned>(?<=[=:]) ?[\"'][^\s\"']{8,}+[\"'])", r"(?P<entropy>(?<![0-9A-Za-z+/_@.-])(?=[A-Za-z+/_-]*[0-9])[0-9A-Za-z+/_-]{16,}+(?![0-9A-Za-z+/_@-]))"]))
+#: What assigns, and the unquoted value behind it: up to white space, a quote, a closing tag or the next name of a list.
+ASSIGN = re.compile(r"(?:=>|:=|[=:]{1,2})[ \t]*(?=[^\s\"'=:])")
+VALUE = re.compile(r"(?:(?![&;,](?:[\w.-]+[=:]|\s|$)|</|<br)[^\s\"'])+")
 #: Characters before and behind a candidate that are looked at.
 CONTEXT = 60
 TREES, DEPTH, FINDINGS = 40, 10, 4000
@@ -155,7 +158,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str,
     syllables = [a + b for a in "bcdfghlmnprst" for b in ("a", "e", "i", "o", "u", "an", "er", "on", "ing")]
     prose = lambda k: " ".join("".join(pick(syllables) for _ in range(int(rng.integers(1, 4)))) for _ in range(k))
     out = []
-    for i in range(n):
+    for i in range(n - n // 5):
         secret, kind = i % 2, "entropy"
         path = pick(("src/app", "config/prod", "deploy/env", "web", "crawl", "src7", "tests/unit", "docs/guide", "examples"))
         before, after = prose(4) + " ", " " + prose(3)
@@ -178,6 +181,22 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str,
                 after = '"' + after
                 kind = "assigned"
         out.append((kind, value, before[-CONTEXT:], after[:CONTEXT], path, secret))
+    # A fifth: passwords and long keys that are assigned, against words, references and numbers that are, and long data.
+    marks = "!#$%^*?+@"
+    for i in range(n // 5):
+        secret, kind, quote = i % 2, "assigned", ""
+        word = prose(1)
+        before, after = prose(4) + " " + pick(RISKY_WORDS) + pick(("=", ": ", " = ", ":")), pick((" ", "\n", "; ")) + prose(3)
+        form = int(rng.integers(4))
+        if secret:
+            value = (lambda: chars(low + high + digits + marks, 8, 20), lambda: word.title() + chars(digits, 1, 4) + chars(marks, 1, 1) + chars(low + digits, 0, 6), lambda: chars(low + high, 16, 40), lambda: chars(low + high + digits + "+/", 201, 1200))[form]()
+            quote = pick(("", "", '"')) if form == 3 else ""
+        elif form == 3:
+            value, kind = chars(low + high + digits + "+/", 201, 1200), "entropy"
+            before = prose(4) + pick((" data:image/png;base64,", " src=data:font/woff;base64,", " sha512-"))
+        else:
+            value = (lambda: pick((word, word.title(), prose(2).replace(" ", "_"), "true", "null", "None", "string", "required")), lambda: pick(("${" + word.upper() + "}", "os.environ[", "$" + word.upper(), "<your-" + word + ">", "process.env." + word.upper(), "self." + word, word + "()", "https://" + word + ".example.com/" + prose(1))), lambda: chars(digits, 1, 8))[form]()
+        out.append((kind, value, (before + quote)[-CONTEXT:], (quote + after)[:CONTEXT], pick(("src/app", "config/prod", "web", "crawl", "notes")), secret))
     return out
 
 
@@ -194,12 +213,41 @@ def candidates(text: str) -> Iterator[tuple[str, int, str]]:
     """(kind, start, value) of what may be a secret."""
     if not any(c in text for c in "0123456789=:"):
         return
+    found = []
     for m in CANDIDATE.finditer(text):
         start, value = m.start(), m.group()
         if m.lastgroup == "assigned":
             inner = re.search(r"[^\s\"']+", value)
             start, value = start + inner.start(), inner.group()
-        yield m.lastgroup, start, value
+        found.append((m.lastgroup, start, value))
+    assigned = list(_unquoted(text))
+    if not assigned:
+        yield from found
+        return
+    # A whole value goes before the runs in it; keys of known formats and quoted values stay.
+    at, kept = 0, []
+    for start, value in assigned:
+        while at < len(found) and found[at][1] + len(found[at][2]) <= start:
+            kept.append(found[at])
+            at += 1
+        inside = at
+        while inside < len(found) and found[inside][1] < start + len(value):
+            inside += 1
+        if all(kind == "entropy" and start <= i and i + len(v) <= start + len(value) and v != value for kind, i, v in found[at:inside]):
+            kept.append(("assigned", start, value))
+            at = inside
+    yield from kept + found[at:]
+
+
+def _unquoted(text: str) -> Iterator[tuple[int, str]]:
+    """(start, value) of what risky words are assigned to without quotes."""
+    at = 0
+    while m := ASSIGN.search(text, at):
+        at = m.end()
+        if text[max(0, m.start() - 80) : m.start()].rstrip(" \t\"')]").lower().endswith(RISKY_WORDS) and (v := VALUE.match(text, at)):
+            at = v.end()
+            if value := v.group().rstrip(",;.)]}"):
+                yield v.start(), value
 
 
 def scan(docs: DataFrame, forest: Forest, vocabulary_path: str, *, doc_id: str = "doc_id", text: str = "text", path: str = "source", least: float = 0.5, with_value: bool = False) -> DataFrame:
