@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .support import arrow_batches, lean, stage
 from .textblocks import M1, M4, U, flat, mix, word_hashes, words
 
-#: Labelled rows that the models are fitted on at most, by order of a hash; all of fewer.
+#: Of so many labelled rows at most, an even sample by hash, those of fold 3 calibrate. Counts are of all rows.
 MAX_LABELLED = 30_000
+#: Labels that are broadcast to the texts at most (some 40 bytes each); of more, the labels and texts are shuffled.
+MAX_BROADCAST = 4_000_000
 #: Expressions (words and word pairs) that a model keeps at most, by evidence.
 MAX_EXPRESSIONS = 100_000
 #: Absolute discount, and the log-likelihood ratio statistic from which a class has counts of its own for an expression.
@@ -135,7 +137,8 @@ def fold(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mark: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
-    """Fits the models on labelled rows outside fold 2, at most max_labelled of them.
+    """Fits the models on all labelled rows of folds 0 and 1 and calibrates them on fold 3, of which an even sample
+    is taken when more than max_labelled rows outside fold 2 have labels.
 
     Without a row of either class the score is a constant: the share of toxic rows, 0 without labels. Repeated
     labels of a document count once, toxic if any is; null marks are no labels.
@@ -145,10 +148,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     marks = labels.filter(F.col(mark).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("mark_id")).agg(F.max(F.col(mark).cast("int")).alias("toxic"))
     marks = marks.withColumn("fold", fold("mark_id")).filter("fold <> 2")
     n = marks.count()
+    shown = marks.filter("fold = 3")
     if n > max_labelled:  # an even sample by hash; 2 ** 20 steps
-        marks = marks.filter(F.pmod(F.xxhash64("mark_id", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * max_labelled / n))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(marks), F.col("doc_id") == F.col("mark_id")).select("text", "toxic", "fold")
-    counted = rows.filter("fold < 2").select("text", "toxic").mapInArrow(lean(_count), "key long, word long, pair boolean, n long, t long")
+        shown = shown.filter(F.pmod(F.xxhash64("mark_id", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * max_labelled / n))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    learnt = marks.filter("fold < 2")
+    rows = texts.filter(fold() < 2).join(F.broadcast(learnt) if n <= MAX_BROADCAST else learnt, F.col("doc_id") == F.col("mark_id"))
+    counted = rows.select("text", "toxic").mapInArrow(lean(_count), "key long, word long, pair boolean, n long, t long")
     counted = counted.groupBy("key", "word", "pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     counted = stage(counted, "expressions")
     sums = {r["pair"]: r for r in counted.groupBy("pair").agg(F.count("*").alias("types"), F.sum("n").alias("n"), F.sum("t").alias("t")).collect()}
@@ -188,7 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in held.value.features(batch.column("text")).T), batch.column("toxic")], [*"abcde", "toxic"])
 
-    shown = rows.filter("fold = 3").select("text", "toxic").mapInArrow(lean(features), "a double, b double, c double, d double, e double, toxic int").toPandas()
+    rows = texts.join(F.broadcast(shown), F.col("doc_id") == F.col("mark_id"))
+    shown = rows.select("text", "toxic").mapInArrow(lean(features), "a double, b double, c double, d double, e double, toxic int").toPandas()
     if shown["toxic"].nunique() == 2:
         model.weights = _logistic(shown[list("abcde")].to_numpy(), shown["toxic"].to_numpy(float))
     else:

@@ -54,6 +54,16 @@ def test_toxicity_without_labels(spark, marked):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_counts_all_labelled_rows(spark, marked, monkeypatch):
+    docs, labels = marked
+    monkeypatch.setattr(toxicity, "MAX_BROADCAST", 1000)  # below the labels there are
+    whole, small = toxicity.fit(docs, labels), toxicity.fit(docs, labels, max_labelled=300)
+    assert len(whole.word_keys) and len(whole.pair_keys)
+    for x in ("word_keys", "word_ratio", "pair_keys", "pair_ratio"):
+        assert np.array_equal(getattr(whole, x), getattr(small, x))
+    assert not np.array_equal(whole.weights, small.weights)  # only the calibration has a sample
+
+
 def test_shared_backoff_cancels():
     got = toxicity.kneser_ney_ratios(np.array([0.0, 50, 0]), np.array([20.0, 0, 0]), np.array([3.0, 9, 1]), (1000, 300), (100, 400, 1300))
     assert got[0] > 2 and got[1] < -2 and abs(got[2]) < 1e-9
