@@ -8,21 +8,21 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .support import arrow_batches, lean, stage
 
-#: Pages of a host that must have a node before its entropy counts as evidence.
-LEAST_PAGES = 5
-#: Composite importance below which a branch goes, and the weight of content (against presentation) in it.
+#: Composite importance below which a branch or block goes, and the weight of content (against presentation) in it.
 LEAST_IMPORTANCE, CONTENT_WEIGHT = 0.4, 0.9
+#: Importance starts at 1, with the weight of so many pages: the fewer pages have a node, the less its entropy says.
+PRIOR_PAGES = 3
 
 # Fixed values of HTML: elements without content, blocks, those whose content is no prose, and implied ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 INLINE_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre caption figcaption legend summary".split())
-SILENT = frozenset("head script style noscript template svg math iframe object canvas audio video select option datalist textarea button form nav footer aside dialog menu search title".split())
+SILENT = frozenset("head script style noscript template svg math iframe object canvas audio video select option datalist textarea button label nav footer aside dialog menu search title".split())
 CLOSED = SILENT - BLOCK
 SHOWN = CLOSED - {"script", "style", "noscript", "template", "datalist"}
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -61,13 +61,18 @@ def key(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def leaf(branch: tuple[str, ...], text: str) -> int:
+    return key("\0".join((*branch, "", text)))
+
+
 class Page(HTMLParser):
     """The blocks of a page (text, branch of container nodes, in an article) and the containers' children, both
     without noise. Implied ends are supplied; unknown end tags are ignored.
 
     A name in class or id that holds a noise word marks noise, unless its elements hold more than half of the page's
     text, or of the text of its articles: then it names a layout (no-sidebar, menu-closed), and marks nothing there. A
-    name of what stands beside an article (ad) marks it however short the article is.
+    name of what stands beside an article (ad) marks it however short the article is. A form is noise in the same way,
+    each for itself: one around the page's text, or around its articles, is layout.
     """
 
     def __init__(self, html: str):
@@ -77,6 +82,7 @@ class Page(HTMLParser):
         #: Blocks as found, in parts (text, names that may mark noise), and children with such names.
         self.found: list[tuple[list[tuple[str, frozenset[str]]], tuple[str, ...], bool]] = []
         self.nodes: dict[tuple[str, ...], tuple[list[tuple[str, frozenset[str]]], frozenset[str]]] = {}
+        self.forms = 0
         self.open: list[tuple[str, tuple[str, ...], bool, bool, frozenset[str]]] = [("", (), False, False, NONE)]  # tag, branch, in article, noise, marks
         self.parts: list[tuple[str, frozenset[str]]] = []
         self.feed(html)
@@ -92,7 +98,7 @@ class Page(HTMLParser):
                 for held in (total, *(sums.setdefault(x, [0, 0]) for x in marks)):
                     held[0] += n
                     held[1] += n * in_article
-        noise = {x for x, held in sums.items() if 2 * held[1] <= total[1] and (2 * held[0] <= total[0] or (x in BESIDE and total[1]))}
+        noise = {x for x, held in sums.items() if 2 * held[1] <= total[1] and (2 * held[0] <= total[0] or ((x in BESIDE or x[0] == "<") and total[1]))}
         for parts, branch, in_article in self.found:
             text = " ".join("".join(" " if marks and not noise.isdisjoint(marks) else x for x, marks in parts).split())
             if text:
@@ -138,6 +144,9 @@ class Page(HTMLParser):
         noise = noise or _is_noise(tag, attributes, in_article)
         if not noise and (own := _marks(tag, attributes, in_article)):
             marks |= own
+        if tag == "form" and not noise:
+            self.forms += 1
+            marks |= {f"<form {self.forms}>"}
         if tag in SHOWN:
             self.parts.append((" ", NONE))  # a control stands between the words around it
         if tag in BLOCK and not noise:
@@ -167,8 +176,9 @@ class Page(HTMLParser):
 
 
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch and page of a host: that a node has a list of children (kind 0) or a block (kind 1). A page is a digest
-    of all that it would count, so that its copies are one page. Noise is not counted, as it goes anyway."""
+    """Per batch and page of a host: that a node has a list of children (kind 0) or a block (kind 1; 2 in an article).
+    A page is a digest of all that it would count, so that its copies are one page. Noise is not counted, as it goes
+    anyway."""
     for batch in batches:
         found: set[tuple[int, int, int, int, int]] = set()
         above: dict[int, list[int]] = {}
@@ -181,9 +191,9 @@ def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     node = keys[branch] = key("\0".join(branch))
                     above[node] = [key("\0".join(branch[:i])) for i in range(1, len(branch) + 1)]
                 mine.add((keys[branch], 0, key("\0".join(names))))
-            for text, branch, _ in page.blocks:
+            for text, branch, in_article in page.blocks:
                 if branch in page.children:
-                    mine.add((keys[branch], 1, key(text)))
+                    mine.add((keys[branch], 1 + in_article, leaf(branch, text)))
             same = key(repr(sorted(mine)))
             found.update((host, *x, same) for x in mine)
         rows = [(*x, above[x[1]] if x[2] else None) for x in found]
@@ -191,25 +201,36 @@ def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)], ["host", "node", "kind", "feature", "page", "branch"])
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of the site style trees of pages (host, html), from 0 (the same on
-    all pages) to 1 (another on each page, or one page only). Copies of a page count as one page.
+def shrunk(importance: Column, pages: Column) -> Column:
+    """Importance by entropy over so many pages, together with PRIOR_PAGES pages of importance 1."""
+    return (PRIOR_PAGES + pages * importance) / (PRIOR_PAGES + pages)
+
+
+def importance(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, node, pages, importance) of the nodes of the site style trees of pages (host, html), and the same of
+    their blocks outside articles: from 1 (another on each page, or one page only) down towards 0 (the same on
+    many pages). Copies of a page count as one page.
 
     Presentation: entropy of a node's lists of children over the pages that have it. Content: 1 less the mean
-    entropy of the distinct blocks under the node, a block on k of m pages having log k / log m. Both to base m.
+    entropy of the distinct blocks under the node, a block on k of m pages having log k / log m. Both to base m. A
+    block by itself has its content only.
     """
     seen = pages.mapInArrow(lean(_tree), "host long, node long, kind int, feature long, page long, branch array<long>")
     seen = seen.groupBy("host", "node", "kind", "feature", "page").agg(F.first("branch").alias("branch"))  # copies fold
-    # Written, as both kinds are read: else each would parse all pages.
+    # Written, as all kinds are read: else each would parse all pages.
     seen = stage(seen.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("k"), F.first("branch").alias("branch")), "style-counts")
     styles = seen.filter("kind = 0").groupBy("host", "node").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.log("k")).alias("s"))
     styles = styles.withColumn("presentation", F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0))
-    blocks = seen.filter("kind = 1").select("host", F.explode("branch").alias("branch_node"), F.log("k").alias("h"))
+    blocks = seen.filter("kind > 0").select("host", F.explode("branch").alias("branch_node"), F.log("k").alias("h"))
     blocks = blocks.groupBy(F.col("host").alias("h_"), F.col("branch_node").alias("n_")).agg(F.sum("h").alias("h"), F.count("*").alias("n"))
     both = styles.join(blocks, (F.col("host") == F.col("h_")) & (F.col("node") == F.col("n_")), "left")
     content = F.when(F.col("m") > 1, F.greatest(F.lit(0.0), 1 - F.col("h") / (F.col("n") * F.log("m")))).otherwise(1.0)
     whole = F.when(F.col("n").isNull(), F.col("presentation")).otherwise((1 - CONTENT_WEIGHT) * F.col("presentation") + CONTENT_WEIGHT * content)
-    return both.select("host", "node", F.col("m").alias("pages"), whole.alias("importance"))
+    nodes = both.select("host", "node", F.col("m").alias("pages"), shrunk(whole, F.col("m")).alias("importance"))
+    repeated = seen.filter("kind = 1 and k > 1").select(F.col("host").alias("h_"), F.col("node").alias("n_"), "feature", "k")
+    alone = repeated.join(styles.select("host", "node", "m"), (F.col("host") == F.col("h_")) & (F.col("node") == F.col("n_")))
+    leaves = alone.select("host", F.col("feature").alias("node"), F.col("m").alias("pages"), shrunk(1 - F.log("k") / F.log("m"), F.col("m")).alias("importance"))
+    return nodes, leaves
 
 
 def main_text(html: str | None, unimportant: set[int], cache: dict[tuple[str, ...], bool]) -> str:
@@ -218,10 +239,10 @@ def main_text(html: str | None, unimportant: set[int], cache: dict[tuple[str, ..
     page = Page(html or "")
     kept = []
     for text, branch, in_article in page.blocks:
-        if unimportant and branch:
+        if unimportant:
             if branch not in cache:
                 cache[branch] = any(branch[i - 1].partition(".")[0].partition("#")[0] not in PROTECTED and key("\0".join(branch[:i])) in unimportant for i in range(1, len(branch) + 1))
-            if cache[branch]:
+            if cache[branch] or (not in_article and leaf(branch, text) in unimportant):
                 continue
         kept.append((text, in_article))
     inside = sum(len(text) for text, in_article in kept if in_article)
@@ -241,25 +262,30 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", least_importance: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
     """One row per row of pages: page_id, url, text and n_chars (code points) of the main text.
 
-    The DOMs of each host are merged into a style tree; branches of low importance on least_pages pages or more
-    go from each page of the host, as do those whose markup names them (navigation, advert, footer ...), unless the
-    name is on most of the page's or its articles' text; html, body, main and article never do. Where article and main
-    elements hold half of the rest, only they count. Character references are
-    decoded, white space inside a block becomes one space, blocks are joined by an empty line.
+    The DOMs of each host are merged into a style tree, whose nodes have an importance by the entropy of what they hold
+    on the host's pages, nearer to 1 the fewer pages have them. From each page go the branches below
+    least_importance (but html, body, main and article never do), the blocks below it outside articles, and
+    the branches whose markup names them (navigation, advert, footer ...), unless the name is on most of the page's or its
+    articles' text. Where article and main elements hold half of the rest, only they count. Character references are
+    decoded, white space inside a block becomes one space, blocks are joined by an empty line. With
+    least_importance=0 the markup decides alone.
 
     Defined results: null html is empty, its text is empty; pages without a host in their url form one
     host; repeated rows have a result each, but copies of a page of a host are one page of its tree; null page_id and url are kept; an empty table gives an empty result; other columns
-    are ignored. The trees are counted in pieces (host, node, block), so a hot host is no hot key; the join by
-    host is plain, so that Spark broadcasts low branches where they are few and can split a hot host otherwise.
+    are ignored. The trees are counted in pieces (host, node, block), so a hot host is no hot key. What
+    is below least_importance comes to each page of its host in one list; it grows with the host's templates and not with
+    its pages, as a block must be on some m ** 0.6 of m pages. The join by host is plain, so that Spark broadcasts these
+    lists where they are few and can split a hot host otherwise.
     """
     spark = pages.sparkSession
     arrow_batches(spark, 200)
     host = F.xxhash64(F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^\w+://(?:[^/@?#]*@)?([^/:?#]*)", 1)))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), host.alias("host"))
-    low = importance(rows.select("host", "html")).filter((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
+    nodes, leaves = importance(rows.select("host", "html"))
+    low = nodes.unionByName(leaves).filter(F.col("importance") < least_importance)
     low = stage(low.groupBy("host").agg(F.collect_set("node").alias("nodes")), "style-nodes")
     if low.isEmpty():
         rows = rows.withColumn("nodes", F.lit(None).cast("array<long>"))

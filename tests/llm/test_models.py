@@ -2,6 +2,7 @@
 
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -156,6 +157,8 @@ BODY = "<p>The text of the page, which is the longest part of it by far.</p>"
         "<article class='post comment-open'>{}<div class='comments'>No</div></article>",
         "<div class='widget w'><div class='menu'>Home</div></div><div class='related'><article>Teaser</article></div><div class='post-widget'><article>{}</article></div>",
         "<main><div class='search-page'>{}</div></main><div class='ad'>Buy</div>",
+        "<body><form id='f'><div>{}</div><form><label>Name</label><input>Send it</form></form></body>",
+        "<form action='/x'><div class='menu'>Home</div><article class='post share'>{}<form>Reply <textarea>x</textarea></form></article></form>",
     ],
 )
 def test_markup_words_do_not_remove_the_main_content(html):
@@ -190,6 +193,66 @@ def test_html_copies_of_a_page_are_no_boilerplate(spark):
     assert {got[20 + i] for i in range(6)} == {"Own text 7\n\nand 49"} and got[13] == "Own text 3\n\nand 9"
 
 
+def site(i, host):
+    """A page without article elements, whose template nothing names."""
+    return f"<html><body><div class='top'><p>Welcome to {host}</p><a>Start</a> <a>Contact</a></div><div class='mid'><p>Story {i} of {host} begins</p><p>and ends after {i * i} days</p></div><p>Printed in {host}</p><div class='end'>All rights of {host}</div></body></html>"
+
+
+def test_style_tree_decides_where_nothing_is_named(spark):
+    """With the tree only the stories stay; without it (least_importance=0) the template stays too."""
+    rows = [(i, f"https://h{i % 3}.example/{i}", site(i, f"h{i % 3}"), 1, [1], "n") for i in range(36)]
+    df = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string, host int, nodes array<int>, text string").repartition(4)
+    got = [(r.page_id, r.text, r.n_chars) for r in html_extract.extract(df).collect()]
+    stories = {i: f"Story {i} of h{i % 3} begins\n\nand ends after {i * i} days" for i in range(36)}
+    assert sorted(got) == sorted([(i, t, len(t)) for i, t in stories.items()] + [(0, stories[0], len(stories[0]))])
+    off = {r.page_id: r.text for r in html_extract.extract(df, least_importance=0).collect()}
+    assert off[5] == "Welcome to h2\n\nStart Contact\n\n" + stories[5] + "\n\nPrinted in h2\n\nAll rights of h2"
+
+
+def brute_importance(htmls):
+    """Importance of the nodes and outer blocks of one host, by the definition."""
+    pages = {}
+    for html in htmls:
+        page = html_extract.Page(html)
+        blocks = [(t, b, a) for t, b, a in page.blocks if b in page.children]
+        pages[repr((sorted(page.children.items()), sorted(set(blocks))))] = (page.children, blocks)
+    pages = list(pages.values())
+    nodes, leaves = {}, {}
+    for branch in {b for children, _ in pages for b in children}:
+        having = [(children, blocks) for children, blocks in pages if branch in children]
+        m, base = len(having), np.log(max(2, len(having)))
+        counts = np.array(list(Counter(tuple(children[branch]) for children, _ in having).values()))
+        presentation = 1 - (counts * np.log(counts)).sum() / (m * base) if m > 1 else 1.0
+        under = Counter(x for _, blocks in pages for x in {(t, b, a) for t, b, a in blocks if b[: len(branch)] == branch})
+        content = max(0.0, 1 - np.mean([np.log(k) / base for k in under.values()])) if under and m > 1 else 1.0
+        whole = presentation if not under or not branch else 0.1 * presentation + 0.9 * content
+        nodes[html_extract.key("\0".join(branch))] = (m, (3 + m * whole) / (3 + m))
+        for (t, b, a), k in under.items():
+            if b == branch and not a and k > 1:
+                leaves[html_extract.leaf(b, t)] = (m, (3 + m * (1 - np.log(k) / base)) / (3 + m))
+    return nodes, leaves
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7])
+def test_importance_equals_its_definition(spark, n):
+    htmls = [site(i, "h") for i in range(n)] + [site(0, "h")]
+    htmls += [f"<div class='top'>Same</div><div class='x{i % 2}'><ul><li>a<li>{i}</ul><article><p>In</p></article></div><p>tail" for i in range(n)]
+    df = spark.createDataFrame([(7, x) for x in htmls], "host long, html string").repartition(3)
+    nodes, leaves = html_extract.importance(df)
+    for got, want in zip((nodes, leaves), brute_importance(htmls), strict=True):
+        got = {r.node: (r.pages, r.importance) for r in got.collect()}
+        assert set(got) == set(want)
+        assert all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 1e-9 for x in want)
+
+
+def test_html_long_pages_and_clashing_columns(spark):
+    long = "<article>" + "<p>A long page goes on and on.</p>" * 20_000 + "</article>"
+    deep = "<div>" * 400 + "deep" + "</div>" * 400
+    df = spark.createDataFrame([(1, None, long, 3), (1, None, long, 3), (None, "http://x.org", deep, None)], "page_id long, url string, html string, n_chars int")
+    rows = html_extract.extract(df).collect()
+    assert sorted((str(r.page_id), r.n_chars) for r in rows) == [("1", 20_000 * 29 - 2), ("1", 20_000 * 29 - 2), ("None", 4)]
+
+
 @needs_tables
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, name):
