@@ -7,18 +7,17 @@ import inspect
 import math
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that Spark hands to Python at once; long texts make larger batches costly in memory.
+#: Rows that functions over batches get at once; long texts make larger batches costly in memory.
 ARROW_ROWS = 400
 
 
 def _return_memory() -> None:
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -26,13 +25,20 @@ def _return_memory() -> None:
         pass
 
 
-def lean(f: Callable) -> Callable:
-    """A function over batches or groups whose Python worker gives freed memory back when it is done; else the next
-    tasks of the executor find less than there is, as workers stay."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of so many at most, whatever the session's setting is."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def lean(f: Callable, rows: int = ARROW_ROWS) -> Callable:
+    """A function over batches (which get so many rows at most) or groups whose Python worker gives freed memory back when
+    it is done; else the next tasks of the executor find less than there is, as workers stay."""
 
-    def batches(*args):
+    def batches(found):
         try:
-            yield from f(*args)
+            yield from f(sliced(found, rows))
         finally:
             _return_memory()
 
@@ -43,7 +49,7 @@ def lean(f: Callable) -> Callable:
             _return_memory()
 
     if inspect.isgeneratorfunction(f):
-        return lambda rows: batches(rows)
+        return lambda found: batches(found)
     # Spark counts the parameters to tell whether the key is wanted.
     return {1: lambda a: group(a), 2: lambda a, b: group(a, b), 3: lambda a, b, c: group(a, b, c)}[len(inspect.signature(f).parameters)]
 
