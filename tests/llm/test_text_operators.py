@@ -100,19 +100,51 @@ def test_exact_dedup(spark):
     assert small == {0: 0, 1: 0, 2: 2}
 
 
-def test_exact_dedup_merges_runs_and_tells_clashes_apart(spark):
-    first = exact_dedup.exact_dedup(docs(spark, ["a", "b"])).select(F.col("text_sha256").alias("digest"), "keep_id", "group_size")
-    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs(spark, ["A", "c"], [-5, -4]), index=first).collect()}
-    assert got == {-5: (0, 2), -4: (-4, 1)}
-    assert exact_dedup.exact_dedup(docs(spark, []).limit(0)).count() == 0
+def test_exact_dedup_with_an_index(spark):
+    first = exact_dedup.build_index(docs(spark, ["a", "b", "B"]))
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs(spark, ["A", "c", "b"], [-5, -4, 9]), index=first).collect()}
+    assert got == {-5: (0, 2), -4: (-4, 1), 9: (9, 3)}
+    assert exact_dedup.exact_dedup(docs(spark, []).limit(0)).count() == 0 and exact_dedup.build_index(docs(spark, []).limit(0)).count() == 0
     rows = exact_dedup.exact_dedup(docs(spark, ["a", "a", "b"], [1, 1, None])).collect()
     assert sorted((str(r.doc_id), r.group_size, r.kept) for r in rows) == [("1", 2, True), ("1", 2, True), ("None", 1, True)]
 
 
-def test_exact_dedup_clash(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("same"))
+def test_exact_dedup_runs_and_filters(spark):
+    """Filters never deny what another run holds; compaction of what they let through gives the groups."""
+    rng = random.Random(9)
+    entries = [(rng.randrange(4), f"{rng.randrange(900)}".encode(), i, 1) for i in range(2500)]
+    runs = exact_dedup.flush(spark.createDataFrame(entries, "run int, digest binary, keep_id long, group_size long").repartition(3), True)
+    held = {(r.run, bytes(r.digest)) for r in runs.collect()}
+    assert held == {(r, d) for r, d, _, _ in entries} and exact_dedup.filter_rows(10**6) > 100
+    for size in (1, 3):
+        probed = exact_dedup.probe(runs, exact_dedup.filters(runs, size), size)
+        rows = probed.collect()
+        assert len(rows) == len(held) and {f.name for f in probed.schema} == {"run", "digest", "keep_id", "group_size", "maybe"}
+        shared = [any((o, bytes(r.digest)) in held for o in range(4) if o != r.run) for r in rows]
+        assert all(r.maybe for r, s in zip(rows, shared, strict=True) if s) and not all(r.maybe for r in rows)
+        got = {bytes(r.digest): (r.keep_id, r.group_size) for r in exact_dedup.compact(probed, True).collect()}
+        ids = {}
+        for _, d, i, _ in entries:
+            ids.setdefault(d, []).append(i)
+        assert got == {d: (min(x), len(x)) for d, x in ids.items() if len(x) > 1}
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_exact_dedup_clash(spark, monkeypatch, most):
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("ab" * 32))
+    monkeypatch.setattr(exact_dedup, "MAX_BROADCAST", most)
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs(spark, ["a", "A", "b"])).collect()}
     assert got == {0: (1, 2), 1: (1, 2), 2: (2, 1)}
+    first = exact_dedup.build_index(docs(spark, ["b", "x"], [70, 71]))
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs(spark, ["a", "A", "b"]), index=first).collect()}
+    assert got == {0: (1, 2), 1: (1, 2), 2: (70, 2)}
+
+
+def test_exact_dedup_without_broadcast(spark, monkeypatch):
+    texts = [*EDGES, *["hot"] * 200, *["Cold", "cold"] * 3]
+    want = sorted(map(str, exact_dedup.exact_dedup(docs(spark, texts)).collect()))
+    monkeypatch.setattr(exact_dedup, "MAX_BROADCAST", 0)
+    assert sorted(map(str, exact_dedup.exact_dedup(docs(spark, texts)).collect())) == want
 
 
 # --- n-gram Jaccard join ---
