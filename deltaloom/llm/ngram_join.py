@@ -23,6 +23,8 @@ PART_BYTES = 1 << 19
 CLASSES = ((0, 1), (17, 2), (4097, 3))
 #: Tokens of a frequent class that fall into one subclass, about; combinations are formed inside subclasses.
 SUBCLASS = {2: 2.0, 3: 3.0}
+#: From so many members on a posting is hot (or from the 2 ** -16th part of all rows on, so that hot ones are few), and over how many tasks its rows go.
+HOT_POSTING, SALTS = 256, 32
 #: Postings up to this length are compared pair by pair, longer ones leader by leader. Where all postings up to a
 #: greater length have no more pairs than there are rows in the first round's postings, that length counts.
 SMALL_POSTING = 8
@@ -42,15 +44,19 @@ def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(values), np.concatenate(sizes)) if values else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
+def _digests_of(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    ends = np.cumsum(sizes)
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values * m), dtype=np.uint64)]) for m in (M1, M4)]
+    return [s[ends] - s[ends - sizes] for s in sums]
+
+
 def _digests(k: int):
     """Per text: size of its shingle set, and 128 bits that are equal for equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, sizes = _sets(batch.column("text"), k)
-            ends = np.cumsum(sizes)
-            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values * m), dtype=np.uint64)]) for m in (M1, M4)]
-            one, two = (s[ends] - s[ends - sizes] for s in sums)
+            one, two = _digests_of(values, sizes)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "n_shingles", "d1", "d2"])
 
     return run
@@ -63,14 +69,20 @@ def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
 class _Block:
     """The representatives' shingle sets of one block of texts, and the distinct tokens of the block by bucket."""
 
-    def __init__(self, docs: pa.Table, reps: set[int], k: int, buckets: int):
-        ids = docs["doc_id"].to_pylist()
-        first: dict[int, int] = {}
-        for i, d in enumerate(ids):
-            if d in reps:
-                first.setdefault(d, i)
-        keep = sorted(first.values())
-        self.ids = [ids[i] for i in keep]
+    def __init__(self, docs: pa.Table, reps: list[tuple[int, int, int]], k: int, buckets: int):
+        rows: dict[int, list[int]] = {d: [] for d, _, _ in reps}
+        for i, d in enumerate(docs["doc_id"].to_pylist()):
+            if d in rows:
+                rows[d].append(i)
+        found = {}
+        for d, d1, node in reps:
+            at = rows[d]
+            if len(at) > 1:  # rows that share a doc_id are told apart by their sets
+                some = _digests_of(*_sets(docs["text"].combine_chunks().take(pa.array(at, pa.int64())), k))[0].view(np.int64).tolist()
+                at = [i for i, x in zip(at, some, strict=True) if x == d1]
+            found[at[0]] = node
+        keep = sorted(found)
+        self.ids = [found[i] for i in keep]
         self.values, self.sizes = _sets(docs["text"].combine_chunks().take(pa.array(keep, pa.int64())), k)
         self.order = np.argsort(self.values)
         v = self.values[self.order]
@@ -98,7 +110,7 @@ def _send(k: int, buckets: int):
     """A block's tokens, as one packed row for each bucket of hashes."""
 
     def run(key: tuple, docs: pa.Table, reps: pa.Table) -> pa.Table:
-        block = _Block(docs, set(reps["doc_id"].to_pylist()), k, buckets)
+        block = _Block(docs, list(zip(*(reps[c].to_pylist() for c in ("doc_id", "d1", "node")), strict=True)), k, buckets)
         rows = []
         for i in np.flatnonzero(np.diff(block.edges)).tolist():
             s, e = block.edges[i], block.edges[i + 1]
@@ -180,7 +192,7 @@ def _candidates(k: int, buckets: int, share: int):
 
     def run(key: tuple, docs: pa.Table, messages: pa.Table) -> pa.Table:
         kind = messages["kind"].to_pylist()
-        reps = {d for d, what in zip(messages["doc_id"].to_pylist(), kind, strict=True) if what == 0}
+        reps = [x[:3] for x in zip(*(messages[c].to_pylist() for c in ("doc_id", "d1", "node")), kind, strict=True) if x[3] == 0]
         block = _Block(docs, reps, k, buckets)
         levels = np.zeros(len(block.tokens), np.uint8)
         for what, bucket, data in zip(kind, messages["bucket"].to_pylist(), messages["levels"].to_pylist(), strict=True):
@@ -215,11 +227,33 @@ def _compared(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "common", (100 * F.col("common") >= share * (F.col("na") + F.col("nb") - F.col("common"))).alias("linked"), "rest")
 
 
+class _Salted:
+    """Joins postings with a table of some of their keys (t) such that no task gets more than a part of a hot posting:
+    rows of hot postings carry a salt, and the table's rows of these keys are repeated for each. Hot postings are few,
+    by their definition, and are broadcast."""
+
+    def __init__(self, sized: DataFrame, rows: int):
+        self.hot = sized.filter(F.col("members") >= max(HOT_POSTING, rows >> 16)).select(F.col("s").alias("hot"))
+
+    def join(self, postings: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+        salt = F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        rows = postings.join(F.broadcast(self.hot), F.col("s") == F.col("hot"), "left").withColumn("salt", salt).drop("hot")
+        salts = F.explode(F.when(F.col("hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("table_salt")
+        keys = table.join(F.broadcast(self.hot), F.col("t") == F.col("hot"), "left").select(*table.columns, salts)
+        return rows.join(keys, (F.col("s") == F.col("t")) & (F.col("salt") == F.col("table_salt")), how).drop("salt", "table_salt")
+
+
+def _sized(postings: DataFrame) -> DataFrame:
+    """How many members each posting has (two or more), and sums that are equal for equal members."""
+    h = lambda *seed: F.sum(F.xxhash64("doc_id", *map(F.lit, seed)).cast("decimal(38,0)"))
+    return postings.groupBy("s").agg(F.count("*").alias("members"), h().alias("h1"), h(1).alias("h2")).filter("members > 1")
+
+
 def _one_of_each(postings: DataFrame) -> DataFrame:
     """Postings of two members or more, one of those with the same members."""
-    sized = postings.groupBy("s").agg(F.count("*").alias("members"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h1"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("h2")).filter("members > 1")
+    sized = stage(_sized(postings), "posting-sizes")
     kept = sized.groupBy("members", "h1", "h2").agg(F.min("s").alias("t")).select("t", "members")
-    return postings.join(kept, F.col("s") == F.col("t")).select("s", "doc_id", "n", "alone", "component", "members")
+    return _Salted(sized, sized.agg(F.sum("members")).first()[0] or 0).join(postings, kept).select("s", "doc_id", "n", "alone", "component", "members")
 
 
 def _small(postings: DataFrame, room: int | None) -> tuple[int, int]:
@@ -261,7 +295,8 @@ def _links(found: DataFrame, share: int) -> DataFrame:
         pairs = (pairs if close is None else pairs.unionByName(close)).distinct()
         large = postings.filter(F.col("members") > length)
         leaders = large.groupBy(F.col("s").alias("t")).agg(F.min(F.struct("alone", "doc_id")).alias("l")).select("t", F.col("l.doc_id").alias("b"))
-        led = large.join(leaders, F.col("s") == F.col("t")).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+        salted = _Salted(large.groupBy("s").agg(F.first("members").alias("members")), rows)
+        led = salted.join(large, leaders).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
         if known is not None:
             led = led.join(known.select("a", "b"), ["a", "b"], "left_anti")
         led = stage(_compared(led, sets, share), "led")
@@ -284,9 +319,10 @@ def _links(found: DataFrame, share: int) -> DataFrame:
         both = F.least("common", "cy")
         close = mine.filter("not linked").join(less, (F.col("b") == F.col("l")) & (F.col("ca") != F.col("component")) & (100 * both >= share * (F.col("na") + F.col("ny") - both)))
         close = stage(close.select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("b")).distinct(), "close")
-        again = mine.select("a", "ca", F.col("b").alias("leader"), F.explode("rest").alias("token")).withColumn("s", F.xxhash64("leader", "token"))
-        spans = again.groupBy(F.col("s").alias("t")).agg(F.min("ca").alias("c1"), F.max("ca").alias("c2")).filter("c1 <> c2").select("t")
-        postings = again.join(spans, F.col("s") == F.col("t"), "left_semi").select("s", F.col("a").alias("member"), F.col("ca").alias("component")).distinct()
+        again = mine.select(F.col("a").alias("doc_id"), "ca", F.col("b").alias("leader"), F.explode("rest").alias("token")).withColumn("s", F.xxhash64("leader", "token"))
+        spans = stage(again.groupBy("s").agg(F.min("ca").alias("c1"), F.max("ca").alias("c2"), F.count("*").alias("members")).filter("c1 <> c2").select("s", "members"), "spans")
+        salted = _Salted(spans, spans.agg(F.sum("members")).first()[0] or 0)
+        postings = salted.join(again, spans.select(F.col("s").alias("t")), "left_semi").select("s", F.col("doc_id").alias("member"), F.col("ca").alias("component")).distinct()
         postings = postings.join(able, "member").select("s", F.col("member").alias("doc_id"), "n", "alone", "component")
 
 
@@ -295,13 +331,14 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
 
     Two documents link when share % of the union of their sets of words_each-word shingles is common to both;
     component_id is the smallest doc_id reachable by links. Tokens are 64-bit hashes of shingles. Documents with
-    the same set are one class, of which the smallest doc_id goes on; others are linked with it.
+    the same set are one class, of which the smallest doc_id goes on; others are linked with it. Rows that share a doc_id
+    are documents of their own, each with the component of its set.
 
     Defined results: null, empty and blank texts have no shingles and are linked with nothing; fewer words than
     words_each make one shingle; repeated rows have the same component and stay as rows, null doc_id have
     a null component; an empty table gives an empty result; other columns are ignored.
 
-    Texts are dealt to blocks by hash of doc_id, so no key is hot. Frequencies are counted by exchanging packed
+    Texts are dealt to blocks by hash of doc_id, so no key is hot; long postings are dealt over SALTS tasks. Frequencies are counted by exchanging packed
     hashes of each block; only texts that can have a partner go on.
     """
     spark = docs.sparkSession
@@ -309,16 +346,29 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sized = stage(rows.mapInArrow(lean(_digests(words_each)), "doc_id long, n_shingles long, d1 long, d2 long"), "shingle-digests")
     real = sized.filter("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    members = real.join(classes.select(F.col("n_shingles").alias("n_"), F.col("d1").alias("d1_"), F.col("d2").alias("d2_"), "rep"), (F.col("n_shingles") == F.col("n_")) & (F.col("d1") == F.col("d1_")) & (F.col("d2") == F.col("d2_"))).select("doc_id", "rep")
+    # A class goes by the doc_id of its representative, or by a hash where two classes share one.
+    classes = real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = stage(classes, "shingle-classes")
+    shared = stage(classes.groupBy(F.col("rep").alias("twice")).agg(F.count("*").alias("n")).filter("n > 1").select("twice"), "shared-reps")
+    unique = shared.isEmpty()
+    if unique:
+        classes = classes.withColumn("node", F.col("rep"))
+    else:
+        classes = classes.join(shared, F.col("rep") == F.col("twice"), "left").withColumn("node", F.when(F.col("twice").isNull(), F.col("rep")).otherwise(F.xxhash64("rep", "d1", "d2"))).drop("twice")
     blocks = buckets = block_count(docs, block_bytes, text)
-    reps = stage(classes.select(F.col("rep").alias("doc_id")).withColumn("block", block_of("doc_id", blocks)), "shingle-reps")
+    reps = stage(classes.select(F.col("rep").alias("doc_id"), "d1", "node").withColumn("block", block_of("doc_id", blocks)), "shingle-reps")
     texts = rows.withColumn("block", block_of("doc_id", blocks)).filter("doc_id is not null")
     sent = texts.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(lean(_send(words_each, buckets)), "bucket int, block int, tokens binary, texts binary")
     levels = sent.groupBy("bucket").applyInArrow(lean(_frequencies), "block int, bucket int, levels binary")
-    messages = reps.select("block", F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("levels")).unionByName(levels.select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "bucket", "levels"))
+    messages = reps.select("block", F.lit(0).alias("kind"), "doc_id", "d1", "node", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("levels")).unionByName(levels.select("block", F.lit(1).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("doc_id", "d1", "node")), "bucket", "levels"))
     found = texts.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(lean(_candidates(words_each, buckets, share)), "doc_id long, n long, alone long, tokens array<long>, signatures array<long>")
     found = stage(found, "join-candidates")
-    links = _links(found, share)
-    named = members.join(links, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("member"), F.coalesce("component", "rep").alias("component_id")).distinct()
-    return sized.join(named, F.col("doc_id") == F.col("member"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    links = _links(found, share).withColumnRenamed("node", "linked")
+    named = classes.join(links, F.col("node") == F.col("linked"), "left").withColumn("component", F.coalesce("component", "node"))
+    if not unique:  # the smallest doc_id of a component is not its label
+        labels = named.groupBy(F.col("component").alias("label")).agg(F.min("rep").alias("least"))
+        named = named.join(labels, F.col("component") == F.col("label")).withColumn("component", F.col("least"))
+    # Classes of one row with no link are their own component; only the others are joined.
+    named = named.filter("copies > 1 or component <> rep").select(F.col("n_shingles").alias("n_"), F.col("d1").alias("d1_"), F.col("d2").alias("d2_"), "component")
+    same = (F.col("n_shingles") == F.col("n_")) & (F.col("d1") == F.col("d1_")) & (F.col("d2") == F.col("d2_")) & F.col("doc_id").isNotNull()
+    return sized.join(named, same, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

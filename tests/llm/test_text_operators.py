@@ -196,6 +196,32 @@ def test_ngram_join_edges(spark):
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in rows) == [("0", 1, 0), ("1", 1, 0), ("1", 1, 0), ("None", 0, None)]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_ngram_join_with_repeated_ids(spark, seed):
+    """Rows that share a doc_id are documents of their own, in whatever order they come."""
+    rng = random.Random(seed)
+    base = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(400)) for _ in range(40)) for _ in range(5)]
+    rows = [(1, base[0]), (1, base[1]), (4, base[1].replace(base[1].split()[9], "x")), (2, base[2]), (0, base[2]), (2, base[3]), (3, base[3] + " end"), (2, base[4]), (2, base[4] + " end"), (5, None), (5, base[0] + " more")]
+    numbered = components([(i, t) for i, (_, t) in enumerate(rows)])
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[numbered[i][1]] = min(d, least.get(numbered[i][1], d))
+    want = sorted((d, numbered[i][0], least[numbered[i][1]]) for i, (d, _) in enumerate(rows))
+    for _ in range(2):
+        rng.shuffle(rows)
+        got = ngram_join.ngram_join(docs(spark, [t for _, t in rows], [d for d, _ in rows])).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_ngram_join_deals_hot_postings(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_POSTING", 3)
+    rng = random.Random(11)
+    passage = [f"w{rng.randrange(3000)}" for _ in range(60)]
+    texts = [" ".join(passage + [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(24))]) for _ in range(70)] + ["a b c d e f g", "a b c d e f g h"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs(spark, texts)).collect()}
+    assert got == components(list(enumerate(texts)))
+
+
 def test_signatures_never_miss_a_pair():
     rng = random.Random(4)
     for _ in range(400):
