@@ -60,8 +60,8 @@ def filters(runs: DataFrame, rows: int) -> DataFrame:
 
 def probe(runs: DataFrame, held: DataFrame, rows: int) -> DataFrame:
     """The entries of runs, with maybe: whether the filter of some other run holds the digest."""
-    every = held.select(F.col("filter_run").alias("run")).distinct()
-    others = held.join(every, F.col("run") != F.col("filter_run")).groupBy(F.col("run").alias("probing"), F.col("row").alias("probed")).agg(F.bitmap_or_agg("bits").alias("bits"))
+    every = F.explode(F.array(*(F.lit(i) for i in range(-1, RUNS)))).alias("probing")
+    others = held.select("filter_run", F.col("row").alias("probed"), "bits", every).filter("probing <> filter_run").groupBy("probing", "probed").agg(F.bitmap_or_agg("bits").alias("bits"))
     row, position = _bit(rows)
     at = runs.withColumn("row", row).withColumn("position", position)
     found = at.join(others, (F.col("run") == F.col("probing")) & (F.col("row") == F.col("probed")), "left")
