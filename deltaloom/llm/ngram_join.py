@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .support import arrow_batches, block_count, block_of, lean, stage
+from .support import block_count, block_of, lean, stage
 from .textblocks import M1, M4, U, distinct_in_texts, flat, mix, pack_sorted, shingles, unpack_sorted, word_hashes, words
 
 #: Bytes of text in a block, which is what one task holds at once.
@@ -219,28 +219,33 @@ def _candidates(k: int, buckets: int, share: int):
 
 def _compared(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Adds to pairs (a, b) of doc_id: the sizes na and nb, how many tokens are common, whether they link, and what
-    a has of shared tokens besides b (rest). Both joins are plain, so that hot ends are split."""
+    a has of shared tokens besides b (rest). Ends of many pairs are dealt over several tasks."""
+    pairs = stage(pairs, "pairs")
     one = sets.select(F.col("doc_id").alias("ia"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("doc_id").alias("ib"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(one, F.col("a") == F.col("ia")).join(two, F.col("b") == F.col("ib"))
+    both, rows = pairs, pairs.count()
+    for end, other, table in (("a", "b", one), ("b", "a", two)):
+        sized = pairs.groupBy(end).agg(F.count("*").alias("members"))
+        both = _Salted(sized, rows, end, other).join(both, table, f"i{end}")
     both = both.withColumn("rest", F.array_except("ta", "tb")).withColumn("common", F.size("ta") - F.size("rest"))
     return both.select("a", "b", "na", "nb", "common", (100 * F.col("common") >= share * (F.col("na") + F.col("nb") - F.col("common"))).alias("linked"), "rest")
 
 
 class _Salted:
-    """Joins postings with a table of some of their keys (t) such that no task gets more than a part of a hot posting:
-    rows of hot postings carry a salt, and the table's rows of these keys are repeated for each. Hot postings are few,
-    by their definition, and are broadcast."""
+    """Joins rows by a key of which some values are hot with a table that has each value once, such that no task gets more
+    than a part of a hot value: its rows carry a salt (of the column other), and the table's row is repeated for each. sized has
+    members, the number of rows, for each key. Hot values are few, by their definition, and are broadcast."""
 
-    def __init__(self, sized: DataFrame, rows: int):
-        self.hot = sized.filter(F.col("members") >= max(HOT_POSTING, rows >> 16)).select(F.col("s").alias("hot"))
+    def __init__(self, sized: DataFrame, rows: int, key: str = "s", other: str = "doc_id"):
+        self.key, self.other = key, other
+        self.hot = sized.filter(F.col("members") >= max(HOT_POSTING, rows >> 16)).select(F.col(key).alias("hot"))
 
-    def join(self, postings: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
-        salt = F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        rows = postings.join(F.broadcast(self.hot), F.col("s") == F.col("hot"), "left").withColumn("salt", salt).drop("hot")
+    def join(self, rows: DataFrame, table: DataFrame, to: str = "t", how: str = "inner") -> DataFrame:
+        salt = F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(self.other), F.lit(SALTS)).cast("int"))
+        rows = rows.join(F.broadcast(self.hot), F.col(self.key) == F.col("hot"), "left").withColumn("salt", salt).drop("hot")
         salts = F.explode(F.when(F.col("hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("table_salt")
-        keys = table.join(F.broadcast(self.hot), F.col("t") == F.col("hot"), "left").select(*table.columns, salts)
-        return rows.join(keys, (F.col("s") == F.col("t")) & (F.col("salt") == F.col("table_salt")), how).drop("salt", "table_salt")
+        keys = table.join(F.broadcast(self.hot), F.col(to) == F.col("hot"), "left").select(*table.columns, salts)
+        return rows.join(keys, (F.col(self.key) == F.col(to)) & (F.col("salt") == F.col("table_salt")), how).drop("salt", "table_salt")
 
 
 def _sized(postings: DataFrame) -> DataFrame:
@@ -322,7 +327,7 @@ def _links(found: DataFrame, share: int) -> DataFrame:
         again = mine.select(F.col("a").alias("doc_id"), "ca", F.col("b").alias("leader"), F.explode("rest").alias("token")).withColumn("s", F.xxhash64("leader", "token"))
         spans = stage(again.groupBy("s").agg(F.min("ca").alias("c1"), F.max("ca").alias("c2"), F.count("*").alias("members")).filter("c1 <> c2").select("s", "members"), "spans")
         salted = _Salted(spans, spans.agg(F.sum("members")).first()[0] or 0)
-        postings = salted.join(again, spans.select(F.col("s").alias("t")), "left_semi").select("s", F.col("doc_id").alias("member"), F.col("ca").alias("component")).distinct()
+        postings = salted.join(again, spans.select(F.col("s").alias("t")), how="left_semi").select("s", F.col("doc_id").alias("member"), F.col("ca").alias("component")).distinct()
         postings = postings.join(able, "member").select("s", F.col("member").alias("doc_id"), "n", "alone", "component")
 
 
@@ -341,8 +346,6 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
     Texts are dealt to blocks by hash of doc_id, so no key is hot; long postings are dealt over SALTS tasks. Frequencies are counted by exchanging packed
     hashes of each block; only texts that can have a partner go on.
     """
-    spark = docs.sparkSession
-    arrow_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sized = stage(rows.mapInArrow(lean(_digests(words_each)), "doc_id long, n_shingles long, d1 long, d2 long"), "shingle-digests")
     real = sized.filter("n_shingles > 0 and doc_id is not null")
