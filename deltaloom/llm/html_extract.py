@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import arrow_batches, lean, stage
+from .support import lean, stage
 
+#: Pages that are parsed at once.
+BATCH_PAGES = 200
 #: Composite importance below which a branch or block goes, and the weight of content (against presentation) in it.
 LEAST_IMPORTANCE, CONTENT_WEIGHT = 0.4, 0.9
 #: Importance starts at 1, with the weight of so many pages: the fewer pages have a node, the less its entropy says.
@@ -215,7 +217,7 @@ def importance(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     entropy of the distinct blocks under the node, a block on k of m pages having log k / log m. Both to base m. A
     block by itself has its content only.
     """
-    seen = pages.mapInArrow(lean(_tree), "host long, node long, kind int, feature long, page long, branch array<long>")
+    seen = pages.mapInArrow(lean(_tree, BATCH_PAGES), "host long, node long, kind int, feature long, page long, branch array<long>")
     seen = seen.groupBy("host", "node", "kind", "feature", "page").agg(F.first("branch").alias("branch"))  # copies fold
     # Written, as all kinds are read: else each would parse all pages.
     seen = stage(seen.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("k"), F.first("branch").alias("branch")), "style-counts")
@@ -280,8 +282,6 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     its pages, as a block must be on some m ** 0.6 of m pages. The join by host is plain, so that Spark broadcasts these
     lists where they are few and can split a hot host otherwise.
     """
-    spark = pages.sparkSession
-    arrow_batches(spark, 200)
     host = F.xxhash64(F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^\w+://(?:[^/@?#]*@)?([^/:?#]*)", 1)))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), host.alias("host"))
     nodes, leaves = importance(rows.select("host", "html"))
@@ -291,4 +291,4 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
         rows = rows.withColumn("nodes", F.lit(None).cast("array<long>"))
     else:
         rows = rows.join(low.withColumnRenamed("host", "low_host"), F.col("host") == F.col("low_host"), "left").drop("low_host")
-    return rows.mapInArrow(lean(_extract), "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(_extract, BATCH_PAGES), "page_id long, url string, text string, n_chars long")

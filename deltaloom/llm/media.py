@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import arrow_batches
+from .support import lean
 from .textblocks import flat
 
 #: Payloads are padded to multiples of this many bytes, which is also the width of the images that hold them.
@@ -173,9 +173,8 @@ def media_columns(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     equal texts have equal values; repeated rows and null doc_id are kept; an empty table gives an empty
     result; other columns are ignored. No shuffle; memory is that of one batch of rows.
     """
-    arrow_batches(docs.sparkSession, 500)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string" + ", media binary, tile binary" * with_bytes
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_columns(tile, form, with_bytes), schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(_columns(tile, form, with_bytes)), schema)
 
 
 def _describe(side: int):
@@ -196,5 +195,4 @@ def _describe(side: int):
 
 def describe_images(images: DataFrame, *, id_column: str = "id", media: str = "media", tile: int = 32) -> DataFrame:
     """id, height, width, feature and NPY tile of a column of Netpbm and BMP files; nulls for what can't be read."""
-    arrow_batches(images.sparkSession, 100)
-    return images.select(F.col(id_column).cast("long").alias("id"), F.col(media).alias("media")).mapInArrow(_describe(tile), "id long, height int, width int, feature string, tile binary")
+    return images.select(F.col(id_column).cast("long").alias("id"), F.col(media).alias("media")).mapInArrow(lean(_describe(tile), 100), "id long, height int, width int, feature string, tile binary")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import arrow_batches, stage
+from .support import stage
 
 #: Nearer to 0 or 1 than this, a probability counts as decided.
 TINY = 1e-9
@@ -100,16 +100,16 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
 
     Defined results: null text has size 0; null source is a source of its own, last in order; sources without
     words have target 0 and copies 0; repeated rows are units of their own; an empty table
-    gives an empty result; other columns are ignored. Per-source totals, one row per source, come to the driver.
+    gives an empty result; other columns are ignored. Per-source totals, one row per
+    source, come to the driver; their plan is joined, and broadcast only where Spark finds it small.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 10_000)
     sized = stage(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size")), "mix-sizes")
     totals = {r["source"]: (r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     targets = source_targets({s: v for s, (v, _) in totals.items()}, weights, share, limit) if totals else {}
     plan = [(s, int(v), float(targets[s]), math.floor(r := targets[s] / v if v else 0.0), r - math.floor(r), max(1, math.ceil(n / block_rows))) for s, (v, n) in totals.items()]
     plan = spark.createDataFrame(plan, "plan_source string, source_size long, target double, whole int, p double, blocks int")
-    units = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
+    units = sized.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
     units = units.withColumn("p", F.when((F.col("p") < TINY) | (F.col("size") == 0), 0.0).when(F.col("p") > 1 - TINY, 1.0).otherwise(F.col("p")))
     units = units.withColumn("turn", F.xxhash64("doc_id", F.lit(seed))).withColumn("block", F.pmod(F.xxhash64("turn", "size"), F.col("blocks")).cast("int"))
     open_ = units.filter("p > 0 and p < 1")

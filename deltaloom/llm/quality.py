@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import arrow_batches
+from .support import lean
 from .textblocks import M1, M4, U, flat, mix, word_hashes, words
 from .toxicity import fold
 
@@ -119,15 +119,13 @@ def fit(docs: DataFrame, ratings: DataFrame, *, doc_id: str = "doc_id", text: st
     """Fits on the graded rows (grades 0 to levels - 1) outside fold 2, max_graded at most, which come to the driver as
     hashed features. Repeated ratings of a document count as their highest; null grades are none. Without
     ratings all weights are 0 and all grades as likely."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
     marks = ratings.filter(F.col(grade).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("mark_id")).agg(F.max(F.col(grade).cast("int")).alias("grade"))
     marks = marks.filter(fold("mark_id") != 2)
     n = marks.count()
     if n > max_graded:
         marks = marks.filter(F.pmod(F.xxhash64("mark_id", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * max_graded / n))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(marks), F.col("doc_id") == F.col("mark_id")).select("text", "grade")
-    got = rows.mapInArrow(_rows, "place binary, value binary, grade int").toPandas()
+    got = rows.mapInArrow(lean(_rows), "place binary, value binary, grade int").toPandas()
     if not len(got):
         return Ordinal(np.zeros(1 << BITS, np.float32), np.log(np.arange(1, levels) / np.arange(levels - 1, 0, -1)))
     place = np.frombuffer(b"".join(got["place"]), np.int32)
@@ -141,7 +139,6 @@ def grade(docs: DataFrame, model: Ordinal, *, doc_id: str = "doc_id", text: str
     each row, from its whole text. Empty and null texts have the features of no words; repeated rows and null
     doc_id are graded each; an empty table gives an empty result; other columns are ignored. No shuffle."""
     spark = docs.sparkSession
-    arrow_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,4 +148,4 @@ def grade(docs: DataFrame, model: Ordinal, *, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= least)], ["doc_id", "held_out", "expected_grade", "tail_probability", "kept"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (fold(doc_id) == 2).alias("held_out"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, expected_grade double, tail_probability double, kept boolean")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, expected_grade double, tail_probability double, kept boolean")

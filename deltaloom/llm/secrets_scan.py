@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import arrow_batches
+from .support import lean
 
 # Public formats of keys, words beside secrets and beside what only looks like one, and path parts.
 FORMATS = (
@@ -257,7 +257,6 @@ def scan(docs: DataFrame, forest: Forest, vocabulary_path: str, *, doc_id: str =
     No shuffle; the forest is bounded by its trees and depth and broadcast.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
     held = spark.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +275,7 @@ def scan(docs: DataFrame, forest: Forest, vocabulary_path: str, *, doc_id: str =
                 yield pa.RecordBatch.from_arrays([*columns[:5], pa.array(chance), pa.array(chance >= least), *columns[5 : 5 + with_value]], ["doc_id", "start", "length", "kind", "value_sha256", "chance", "secret", "value"][: 7 + with_value])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(path).cast("string").alias("path"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, kind string, value_sha256 string, chance double, secret boolean" + ", value string" * with_value)
+    return rows.mapInArrow(lean(run), "doc_id long, start long, length long, kind string, value_sha256 string, chance double, secret boolean" + ", value string" * with_value)
 
 
 _WORDS: dict[str, frozenset[str]] = {}

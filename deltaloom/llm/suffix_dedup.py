@@ -10,7 +10,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import arrow_batches, block_count
+from .support import block_count
 from .textblocks import M1, M4, MULTIPLIERS, U, flat, mix, pack_sorted, unpack_sorted
 
 #: Bytes of text in a block, which is what one task holds at once.
@@ -433,7 +433,6 @@ def suffix_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     result; other columns are ignored. Hot passages: a block sends each string once, so a bucket gets one of a kind
     from each block; windows of anchors with very many occurrences are dealt by their own bytes.
     """
-    arrow_batches(docs.sparkSession)
     blocks = block_count(docs, block_bytes, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("order"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).cast("int"))

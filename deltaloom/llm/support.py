@@ -58,31 +58,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keeps the batches that cross into Python small, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is set and Spark runs in this
+    process alone (tests), as other machines would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="deltaloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+_WRITTEN: list[str] = []
+
+
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/deltaloom-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> int:
+    """Removes the tables that stage() wrote in this process, once no result that reads them is wanted any more."""
+    done = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return done
+
+
 def text_bytes(text: str = "text") -> Column:
     return F.octet_length(F.coalesce(F.col(text), F.lit("")))
 
