@@ -15,42 +15,58 @@ from deltaloom.llm.queries import tokenizer_path
 from deltaloom.llm.support import stage, table
 
 
+#: Rows that a stage drops and that are broadcast at most, when their number is known (some 50 bytes each); of more, texts are shuffled.
+MAX_BROADCAST = 1_000_000
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast where it is small."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models reject go. The models learn from labels outside the held-out fold."""
+    """Documents that the toxicity models reject go. The models learn from labels outside the held-out fold. Null and
+    empty texts are scored as texts without evidence; repeated rows are judged each, and alike."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, carry=tuple(docs.columns)).filter("predicted = 0")
     return scored.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays; of repeated rows of it one stays."""
-    kept = stage(exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_digest")), "pipeline-kept")
-    once = kept.distinct()
+    """Of equal texts the row with the largest doc_id stays; of repeated rows of it one stays. Null text is empty."""
+    told = exact_dedup.exact_dedup(docs).select("kept", F.col("doc_id").alias("told_id"), F.col("text_sha256").alias("told_digest"))
+    told = stage(told.groupBy("told_id", "told_digest").agg(F.first("kept").alias("kept"), F.count("*").alias("rows")).filter("not kept or rows > 1"), "pipeline-told")
     digest = F.sha2(exact_dedup.ascii_fold(F.col("text")), 256)
-    same = F.col("keep_id").eqNullSafe(F.col("doc_id")) & (F.col("keep_digest") == F.col("digest"))
-    left = docs.withColumn("digest", digest).join(once, same, "left_semi")
-    if kept.count() > once.count():  # only then texts are shuffled once more
-        left = left.dropDuplicates(["doc_id", "digest"])
-    return left.select(*docs.columns)
+    same = F.col("told_id").eqNullSafe(F.col("doc_id")) & (F.col("told_digest") == F.col("digest"))
+    keyed = docs.withColumn("digest", digest)
+    left = keyed.join(_sized(told), same, "left_anti").select(*docs.columns)
+    repeated = told.filter("kept")
+    if repeated.isEmpty():
+        return left
+    # Repeated rows of what is kept: one of each.
+    return left.unionByName(keyed.join(_sized(repeated), same, "left_semi").dropDuplicates(["doc_id", "digest"]).select(*docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: that with the smallest doc_id. Rows without doc_id stay."""
+    """One document of each group of linked ones stays: that with the smallest doc_id. Rows without doc_id and rows
+    without words stay."""
     groups = ngram_join.ngram_join(docs)
-    going = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("going")).distinct()
-    return docs.join(going, F.col("doc_id") == F.col("going"), "left_anti").select(*docs.columns)
+    going = stage(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("going")).distinct(), "pipeline-going")
+    return docs.join(_sized(going), F.col("doc_id") == F.col("going"), "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice. Rows that share doc_id and size are
-    taken alike."""
-    mixed = mixing.mix(docs).groupBy(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size")).agg(F.max("copies").alias("copies")).filter("copies > 0")
-    same = F.col("mix_id").eqNullSafe(F.col("doc_id")) & (F.col("mix_size") == mixing.word_count("text"))
+    """Each document as often as the mix takes it: not at all, once or twice. Rows that share doc_id, source and size are
+    taken alike, as often as the most of them; documents without words are not taken."""
+    mixed = mixing.mix(docs).groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size")).agg(F.max("copies").alias("copies")).filter("copies > 0")
+    same = F.col("mix_id").eqNullSafe(F.col("doc_id")) & F.col("mix_source").eqNullSafe(F.col("source")) & (F.col("mix_size") == mixing.word_count("text"))
     taken = docs.join(mixed, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return taken.select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences. Null and empty texts are one token; repeated rows are
+    packed each."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -67,6 +83,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Each stage's rows are written and read again as the next one's documents; an empty
+    table gives an empty result."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, function) in enumerate(STAGES):
         docs = function(spark, docs, sf_dir)
