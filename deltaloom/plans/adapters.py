@@ -80,11 +80,12 @@ def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of code made of documents: definitions named by the words that begin their lines."""
+    """Texts of code made of whole documents: definitions named by the words that begin their lines, with the line itself as
+    a comment."""
     rows = files(spark, sf_dir)
-    words = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(F.substring_index(x, " ", 1), r"\W", ""))
-    named = F.filter(words, lambda w: w != "")
-    python = F.array_join(F.transform(named, lambda w: F.concat(F.lit("def f_"), w, F.lit("(a, b: int) -> "), w, F.lit(":\n    import "), w)), "\n")
-    rust = F.array_join(F.transform(named, lambda w: F.concat(F.lit("pub fn f_"), w, F.lit("(&self, a: Vec<u8, u8>) -> "), w, F.lit(" {\nuse crate::"), w, F.lit("::{A, B};"))), "\n")
-    script = F.array_join(F.transform(named, lambda w: F.concat(F.lit("export function f_"), w, F.lit('(a, b = 1): '), w, F.lit(' {}\nimport { a as '), w, F.lit(' } from "./'), w, F.lit('";'))), "\n")
+    named = F.transform(F.split("text", "\n"), lambda x: F.struct(F.regexp_replace(F.substring_index(x, " ", 1), r"\W", "").alias("w"), F.regexp_replace(x, r"[\r\u2028\u2029]", " ").alias("line")))
+    made = lambda mark, code: F.array_join(F.transform(named, lambda x: F.concat(F.lit(mark), x["line"], F.when(x["w"] == "", "").otherwise(code(x["w"])))), "\n")
+    python = made("# ", lambda w: F.concat(F.lit("\ndef f_"), w, F.lit("(a, b: int) -> "), w, F.lit(":\n    import "), w))
+    rust = made("// ", lambda w: F.concat(F.lit("\npub fn f_"), w, F.lit("(&self, a: Vec<u8, u8>) -> "), w, F.lit(" {\nuse crate::"), w, F.lit("::{A, B};")))
+    script = made("// ", lambda w: F.concat(F.lit("\nexport function f_"), w, F.lit('(a, b = 1): '), w, F.lit(' {}\nimport { a as '), w, F.lit(' } from "./'), w, F.lit('";')))
     return rows.select("change_id", "path", "status", F.when(F.col("path").endswith(".py"), python).when(F.col("path").endswith(".rs"), rust).otherwise(script).alias("content"))

@@ -58,9 +58,9 @@ ONE_SQL = f"""words_ AS (SELECT doc_id, unnest(string_split(text, ' ')) AS line,
  lines AS (SELECT 'all' AS change_id, CAST(doc_id AS INT) AS file_idx, CAST(line_idx // 4 AS INT) AS hunk_idx, CAST(line_idx AS INT) AS line_idx, CASE WHEN doc_id % 2 = 0 THEN 'Added' ELSE 'Removed' END AS kind, line AS content FROM words_)"""
 BLOCKS_SQL = f"""{ONE_SQL}, islands AS (SELECT *, line_idx - row_number() OVER (PARTITION BY change_id, file_idx, hunk_idx, kind ORDER BY line_idx) AS island FROM lines WHERE kind IN ('Added', 'Removed')),
  blocks AS (SELECT change_id, file_idx, hunk_idx, kind, CAST(min(line_idx) AS INT) AS line_start, CAST(max(line_idx) + 1 AS INT) AS line_end, coalesce(string_agg({TRIM}, chr(10) ORDER BY line_idx) FILTER ({TRIM} <> ''), '') AS body FROM islands GROUP BY change_id, file_idx, hunk_idx, kind, island HAVING count(*) >= 3),
- nth AS (SELECT *, row_number() OVER (PARTITION BY change_id, body, kind ORDER BY file_idx, hunk_idx, line_start) AS n FROM blocks),
+ nth AS (SELECT * EXCLUDE (body), md5(body) AS digest, row_number() OVER (PARTITION BY change_id, md5(body), kind ORDER BY file_idx, hunk_idx, line_start) AS n FROM blocks),
  moves AS (SELECT o.change_id, o.file_idx AS old_file_idx, o.hunk_idx AS old_hunk_idx, o.line_start AS old_line_start, o.line_end AS old_line_end, a.file_idx AS new_file_idx, a.hunk_idx AS new_hunk_idx, a.line_start AS new_line_start, a.line_end AS new_line_end
-   FROM nth o JOIN nth a ON o.change_id = a.change_id AND o.body = a.body AND o.n = a.n AND o.kind = 'Removed' AND a.kind = 'Added')"""
+   FROM nth o JOIN nth a ON o.change_id = a.change_id AND o.digest = a.digest AND o.n = a.n AND o.kind = 'Removed' AND a.kind = 'Added')"""
 CHURN_SQL = f"{A.COMMITS_SQL}, churn AS (SELECT f.change_id, f.path, count(*) AS commit_count, count(DISTINCT author) AS author_count FROM files f JOIN commits c ON f.path = c.path WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL {DAYS} DAY GROUP BY ALL), risks AS (SELECT *, least(greatest(commit_count / avg(commit_count) OVER (PARTITION BY change_id), 0.5), 3.0) AS risk_multiplier FROM churn)"
 RELABELLED_SQL = """moved_lines_ AS (SELECT change_id, old_file_idx AS file_idx, old_hunk_idx AS hunk_idx, old_line_start AS s, old_line_end AS e FROM moves UNION ALL SELECT change_id, new_file_idx, new_hunk_idx, new_line_start, new_line_end FROM moves),
  relabelled AS (SELECT l.*, m.s IS NOT NULL AS moved FROM lines l LEFT JOIN moved_lines_ m ON l.change_id = m.change_id AND l.file_idx = m.file_idx AND l.hunk_idx = m.hunk_idx AND l.line_idx >= m.s AND l.line_idx < m.e)"""
@@ -133,20 +133,15 @@ def moved_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hunks.relabel_hunks(hunks.classify_hunks(lines), moves.relabel_lines(lines, exact))
 
 
-@query()
-def all_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return moves.moves(A.lines(spark, sf_dir))
-
-
-ROUND_SQL = """was AS (SELECT change_id, path, md5(text) AS d FROM files WHERE file_idx % 7 <> 0), now AS (SELECT change_id, path, md5(CASE WHEN file_idx % 3 = 0 THEN concat(text, ' edited') ELSE text END) AS d FROM files WHERE file_idx % 5 <> 0)"""
+ROUND_SQL = """was AS (SELECT change_id, path, md5(text) AS d FROM files WHERE file_idx % 7 <> 0), now AS (SELECT change_id, path, md5(CASE WHEN file_idx % 3 = 0 THEN concat(text, ' edited') ELSE text END) AS d FROM files WHERE file_idx % 5 <> 0 OR file_idx % 7 = 0)"""
 STATES_SQL = f"{A.FILES_SQL}, {ROUND_SQL}, states AS (SELECT coalesce(was.change_id, now.change_id) AS change_id, coalesce(was.path, now.path) AS path, CASE WHEN was.d IS NULL THEN 'new' WHEN now.d IS NULL THEN 'removed' WHEN was.d = now.d THEN 'unchanged' ELSE 'modified' END AS state FROM was FULL OUTER JOIN now ON was.change_id = now.change_id AND was.path = now.path)"
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two versions of all documents as snapshots: some files exist in one only, some are edited."""
+    """Two versions of all documents as snapshots: some files exist in one only, some are edited; each is in one at least."""
     files = A.files(spark, sf_dir).withColumnRenamed("text", "content")
     edited = files.withColumn("content", F.when(F.col("file_idx") % 3 == 0, F.concat("content", F.lit(" edited"))).otherwise(F.col("content")))
-    return files.filter("file_idx % 7 <> 0"), edited.filter("file_idx % 5 <> 0")
+    return files.filter("file_idx % 7 <> 0"), edited.filter("file_idx % 5 <> 0 or file_idx % 7 = 0")
 
 
 def _round(files: DataFrame) -> DataFrame:
@@ -160,7 +155,7 @@ def interdiff_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interdiff.interdiff(_round(before), _round(after))
 
 
-@query(f"WITH {STATES_SQL} SELECT change_id, file_idx, path FROM files WHERE file_idx % 5 <> 0 AND (change_id, path) IN (SELECT (change_id, path) FROM states WHERE state IN ('new', 'modified'))")
+@query(f"WITH {STATES_SQL} SELECT change_id, file_idx, path FROM files WHERE (file_idx % 5 <> 0 OR file_idx % 7 = 0) AND (change_id, path) IN (SELECT (change_id, path) FROM states WHERE state IN ('new', 'modified'))")
 def interdiff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = _snapshots(spark, sf_dir)
     return interdiff.only_changed(after, interdiff.interdiff(_round(before), _round(after))).select("change_id", "file_idx", "path")
@@ -394,7 +389,8 @@ def parsed_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def function_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = A.sources(spark, sf_dir)
-    old = new.withColumn("content", F.regexp_replace("content", "a, b", "a"))
+    # Of the old version some functions had other parameters, some other names.
+    old = new.withColumn("content", F.regexp_replace(F.regexp_replace("content", "a, b", "a"), "f_([aeiou])", "g_$1"))
     return semantic.summaries(semantic.function_changes(semantic.parse_functions(old), semantic.parse_functions(new)))
 
 
@@ -413,3 +409,6 @@ def full_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = out["hunks"].join(out["spans"], ["change_id", "file_idx", "hunk_idx"])
     nested = nested_diff(out["files"], spans, out["lines"], out["summary"], "base", "head")
     return nested.select("change_id", F.to_json(F.struct("base_ref", "head_ref", "files", "summary")).alias("document"))
+
+
+from . import more_queries  # noqa: E402, F401  (registers its queries)

@@ -117,3 +117,15 @@ def test_branches(spark):
     depends = spark.createDataFrame([("c", 2, 0)], "change_id string, group_index int, depends_on int")
     got = [(r.branch_name, r.parent, r.pr_base, r.pr_title) for r in split.branch_plan(groups, depends).orderBy("group_index").collect()]
     assert got == [("split/part-01-group-0", "main", "main", "[1/3] group 0"), ("split/part-02-group-1", "main", "split/part-01-group-0", "[2/3] group 1"), ("split/part-03-group-2", "split/part-01-group-0", "split/part-02-group-1", "[3/3] group 2")]
+
+
+def test_large_changes_are_solved_in_steps(spark, monkeypatch):
+    """Levels and cycles are the same however many edges fit in a task."""
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "d"), ("e", "a"), ("x", "y"), ("y", "z"), ("z", "x"), ("w", "x"), ("s", "s"), ("q", "missing")]
+    e = edges(spark, *pairs)
+    nodes = changed(spark, *"abcdexyzwsq")
+    want = sorted(map(str, graph.topological_levels(nodes, e).collect())), sorted(map(str, graph.cycles(e).collect()))
+    levels = {r.path: r.level for r in graph.topological_levels(nodes, e).collect()}
+    assert levels == {"d": 0, "c": 1, "b": 2, "a": 3, "e": 4, **dict.fromkeys("xyzwsq")}
+    monkeypatch.setattr(graph, "GROUP_EDGES", 3)
+    assert (sorted(map(str, graph.topological_levels(nodes, e).collect())), sorted(map(str, graph.cycles(e).collect()))) == want
