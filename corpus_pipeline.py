@@ -19,6 +19,15 @@ from deltaloom.llm.support import stage, table
 MAX_BROADCAST = 1_000_000
 
 
+#: Rows that Spark hands to Python at once: five stages follow each other in the same executors, whose Python workers stay.
+ARROW_ROWS = 400
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """The pipeline is an application and so may set up its session; its operators do not."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def _sized(df: DataFrame) -> DataFrame:
     """A written table, marked for broadcast where it is small."""
     return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
@@ -27,6 +36,7 @@ def _sized(df: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models reject go. The models learn from labels outside the held-out fold. Null and
     empty texts are scored as texts without evidence; repeated rows are judged each, and alike."""
+    _small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, carry=tuple(docs.columns)).filter("predicted = 0")
     return scored.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))
@@ -50,6 +60,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays: that with the smallest doc_id. Rows without doc_id and rows
     without words stay."""
+    _small_batches(spark)
     groups = ngram_join.ngram_join(docs)
     going = stage(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("going")).distinct(), "pipeline-going")
     return docs.join(_sized(going), F.col("doc_id") == F.col("going"), "left_anti").select(*docs.columns)
@@ -58,6 +69,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice. Rows that share doc_id, source and size are
     taken alike, as often as the most of them; documents without words are not taken."""
+    _small_batches(spark)
     mixed = mixing.mix(docs).groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size")).agg(F.max("copies").alias("copies")).filter("copies > 0")
     same = F.col("mix_id").eqNullSafe(F.col("doc_id")) & F.col("mix_source").eqNullSafe(F.col("source")) & (F.col("mix_size") == mixing.word_count("text"))
     taken = docs.join(mixed, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
@@ -67,6 +79,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences. Null and empty texts are one token; repeated rows are
     packed each."""
+    _small_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 
