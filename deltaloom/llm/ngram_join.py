@@ -314,15 +314,18 @@ def _links(found: DataFrame, share: int) -> DataFrame:
         # Leaders with new members that are in another component than themselves.
         named = lambda column, as_: labels.select(F.col("node").alias(column), F.col("component").alias(as_))  # noqa: E731, B023
         known = led if known is None else known.unionByName(led)
-        fresh = led.select(F.col("b").alias("leader")).distinct()
-        mine = known.join(fresh, F.col("b") == F.col("leader"), "left_semi").join(named("a", "ca"), "a", "left").join(named("b", "cb"), "b", "left")
-        mine = mine.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
+        fresh = led.select(F.col("b").alias("leader"), F.lit(True).alias("fresh")).distinct()
+        leaders = known.groupBy(F.col("b").alias("leader")).agg(F.count("*").alias("members")).join(fresh, "leader", "left")
+        leaders = stage(leaders.join(named("leader", "cb"), "leader", "left").withColumn("cb", F.coalesce("cb", "leader")), "leaders")
+        salted = _Salted(leaders.select(F.col("leader").alias("b"), "members"), leaders.agg(F.sum("members")).first()[0], "b", "a")
+        mine = salted.join(known, leaders.filter("fresh").select("leader", "cb"), "leader").drop("leader").join(named("a", "ca"), "a", "left")
+        mine = stage(mine.withColumn("ca", F.coalesce("ca", "a")), "led-again")
         split = mine.filter("ca <> cb").select(F.col("b").alias("leader")).distinct()
-        mine = stage(mine.join(split, F.col("b") == F.col("leader"), "left_semi"), "led-open")
+        mine = stage(salted.join(mine, split, "leader", "left_semi"), "led-open")
         # Members that are smaller than the leader, against those that do not link with it.
         less = mine.filter("na < nb").select(F.col("a").alias("y"), F.col("b").alias("l"), F.col("na").alias("ny"), F.col("common").alias("cy"), F.col("ca").alias("component"))
         both = F.least("common", "cy")
-        close = mine.filter("not linked").join(less, (F.col("b") == F.col("l")) & (F.col("ca") != F.col("component")) & (100 * both >= share * (F.col("na") + F.col("ny") - both)))
+        close = salted.join(mine.filter("not linked"), less, "l").filter((F.col("ca") != F.col("component")) & (100 * both >= share * (F.col("na") + F.col("ny") - both)))
         close = stage(close.select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("b")).distinct(), "close")
         again = mine.select(F.col("a").alias("doc_id"), "ca", F.col("b").alias("leader"), F.explode("rest").alias("token")).withColumn("s", F.xxhash64("leader", "token"))
         spans = stage(again.groupBy("s").agg(F.min("ca").alias("c1"), F.max("ca").alias("c2"), F.count("*").alias("members")).filter("c1 <> c2").select("s", "members"), "spans")
