@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -31,6 +32,27 @@ PLAIN = re.compile("[!-~\u00df-\u00f6\u00f8-\u024f]+").fullmatch
 PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u024f]+").findall
 
 
+# The normaliser and splits for which chunks between white space, and PART within them, give the same ids
+# as whole texts. Other tokenizers encode whole texts.
+SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": SPLITS}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_chunk(tokenizer) -> bool:
+    """Whether the tokenizer declares the normaliser and splits above, and its added tokens all start with <| and hold no
+    white space."""
+    said = [x and json.loads(x.__getstate__()) for x in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return said == [NORMALIZER, PRE_TOKENIZER] and all(t.startswith("<|") and not re.search(r"\s", t) for t in added)
+
+
 def byte_symbols() -> list[str]:
     """How byte-level vocabularies write each byte: as the character of that number if it is visible in Latin-1, else
     by its turn as characters from 256 on."""
@@ -43,8 +65,9 @@ SHOWN = byte_symbols()
 
 class WordEncoder(dict[bytes, int]):
     """Encodes white-space separated chunks one by one and remembers them. This equals encoding whole texts for a
-    tokenizer that drops white space and whose normaliser and splits never look across it. Plain chunks go to the
-    tokenizer's model part by part, which is faster; others through the whole tokenizer."""
+    tokenizer that drops white space and whose normaliser and splits never look across it (by_chunk tells; for others
+    whole texts are encoded). Plain chunks go to the tokenizer's model part by part, which is faster; others through the
+    whole tokenizer."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -52,7 +75,10 @@ class WordEncoder(dict[bytes, int]):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        self.chunks = by_chunk(self.tokenizer)
         self.parts: dict[str, bytes] = {}
         self._clear()
 
@@ -90,6 +116,9 @@ class WordEncoder(dict[bytes, int]):
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, END_ID after each text, and how many each text has."""
+        if not self.chunks:
+            found = [np.array([*self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, END_ID], np.uint32) for t in texts]
+            return np.concatenate([np.empty(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
         if len(self) > CACHED_WORDS or len(self.pool) > CACHED_IDS:
             self._clear()
         chunks: list[bytes] = []

@@ -252,6 +252,19 @@ def test_word_encoder_equals_the_tokenizer(text):
     assert ids[: counts[0]].tolist() == want
 
 
+def test_other_tokenizers_encode_whole_texts():
+    """Only what declares the normaliser and splits of the fast way takes it; case, white space and numbers matter else."""
+    assert packing.encoder(tokenizer_path()).chunks
+    other = packing.WordEncoder(tokenizer_path().replace("word_bpe_49k", "byte_bpe_50k"))
+    assert not other.chunks
+    texts = ["", "Two  Words\n\nand 2024 more", " don't ", "Two  Words\n"]
+    ids, counts = other.encode([t.encode() for t in texts])
+    want = [other.tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+    ids, counts = other.encode([])
+    assert len(ids) == len(counts) == 0
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(0, 40), max_size=20))
 def test_plan_is_best_fit_decreasing(counts):
