@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .support import stage
@@ -77,7 +77,8 @@ def _flight(seed: int, last: bool):
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         # Large documents walk first, so that the units left over are small ones.
-        rows = rows.sort_by([("size", "descending"), ("turn", "ascending"), ("doc_id", "ascending")])
+        keys = [c for c in rows.column_names if c.startswith("row_key")]
+        rows = rows.sort_by([("size", "descending"), *((c, "ascending") for c in ("turn", "doc_id", *keys))])
         p, x = rows["p"].to_pylist(), rows["size"].to_pylist()
         rng = np.random.default_rng([seed, len(p), *(abs(int(v.as_py() or 0)) & 0xFFFFFFFF for v in key[1:]), int(sum(x)) & 0xFFFFFFFF])
         left = _walk(p, [i for i, v in enumerate(p) if 0 < v < 1], x, rng, 2)
@@ -89,8 +90,9 @@ def _flight(seed: int, last: bool):
     return run
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, source, size (words), source_size, target, copies, taken.
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: int = 7, block_rows: int = BLOCK_ROWS, row_key: Sequence[Column] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, source, size (words), source_size, target, copies, taken, and row_key0, row_key1, ...
+    with row_key, simple columns over docs by which a caller finds the very rows again where doc_id is repeated.
 
     A source's ratio is target / source_size; each of its documents is taken floor(ratio) times, and once more
     with probability the rest, drawn by the cube method so that the extra documents and their words come near
@@ -104,7 +106,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     source, come to the driver; their plan is joined, and broadcast only where Spark finds it small.
     """
     spark = docs.sparkSession
-    sized = stage(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size")), "mix-sizes")
+    sized = stage(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), *(c.alias(f"row_key{i}") for i, c in enumerate(row_key))), "mix-sizes")
     totals = {r["source"]: (r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     targets = source_targets({s: v for s, (v, _) in totals.items()}, weights, share, limit) if totals else {}
     plan = [(s, int(v), float(targets[s]), math.floor(r := targets[s] / v if v else 0.0), r - math.floor(r), max(1, math.ceil(n / block_rows))) for s, (v, n) in totals.items()]
@@ -127,4 +129,5 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     for df in done[1:]:
         every = every.unionByName(df)
     copies = (F.col("whole") + F.col("p").cast("int")).alias("copies")
-    return every.select("doc_id", "source", "size", "source_size", "target", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+    keys = [f"row_key{i}" for i in range(len(row_key))]
+    return every.select("doc_id", "source", "size", "source_size", "target", copies, *keys).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
