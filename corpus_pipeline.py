@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.llm import exact_dedup, mixing, ngram_join, packing, toxicity
@@ -66,14 +66,25 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(_sized(going), F.col("doc_id") == F.col("going"), "left_anti").select(*docs.columns)
 
 
+def row_key(docs: DataFrame) -> list[Column]:
+    """Two hashes of all columns, nulls told apart from what hashes like them: 128 bits by which rows are found again."""
+    parts = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(F.lit(i), *parts) for i in range(2)]
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice. Rows that share doc_id, source and size are
-    taken alike, as often as the most of them; documents without words are not taken."""
+    """Each row as often as the mix takes it: not at all, once or twice. Rows that are equal in all columns are taken as
+    often as they are drawn together; documents without words are not taken."""
     _small_batches(spark)
-    mixed = mixing.mix(docs).groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size")).agg(F.max("copies").alias("copies")).filter("copies > 0")
-    same = F.col("mix_id").eqNullSafe(F.col("doc_id")) & F.col("mix_source").eqNullSafe(F.col("source")) & (F.col("mix_size") == mixing.word_count("text"))
-    taken = docs.join(mixed, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*docs.columns)
+    keys = ["row_key0", "row_key1"]
+    drawn = mixing.mix(docs, row_key=row_key(docs)).groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    drawn = stage(drawn.filter("_copies > 0").toDF("_key0", "_key1", "_copies", "_rows"), "pipeline-drawn")
+    keyed = docs.withColumns({f"_key{i}": c for i, c in enumerate(row_key(docs))})
+    taken = keyed.join(drawn.filter("_rows = 1"), ["_key0", "_key1"])
+    repeated = drawn.filter("_rows > 1")
+    if not repeated.isEmpty():
+        taken = taken.unionByName(keyed.join(_sized(repeated), ["_key0", "_key1"]).dropDuplicates(["_key0", "_key1"]))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
