@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from deltaloom.llm import html_extract, quality, queries, secrets_scan, toxicity
+from deltaloom.llm import html_extract, mixing, quality, queries, secrets_scan, toxicity
 from deltaloom.llm.queries import tokenizer_path
 
 DIR = "/root/testdata/sf0.01"
@@ -456,6 +456,19 @@ def test_mixing_keeps_sources_apart(spark):
     assert taken["a"] <= 2 * 50 and taken["b"] <= 2 * 350
 
 
+def test_mixing_takes_the_rows_drawn(spark):
+    """Rows that share doc_id, source and size, some of them equal, and a null in either of two columns."""
+    rows = [(i % 7, f"w{i % 90} {'w ' * (i % 3)}", None if i % 11 else "en", "a" if i % 4 else None, 3) for i in range(600)]
+    rows += rows[:60]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    plan = mixing.mix(docs, row_key=[*(F.col(c) for c in docs.columns), *corpus_pipeline.row_key(docs)]).collect()
+    drawn = mixing.mix(docs, row_key=corpus_pipeline.row_key(docs)).groupBy("row_key0", "row_key1").agg(F.sum("copies").alias("n")).collect()
+    named = {(r.row_key5, r.row_key6): tuple(r[f"row_key{i}"] for i in range(5)) for r in plan}
+    assert len(named) == len(set(rows)) == len(drawn)
+    found = Counter(map(tuple, corpus_pipeline.mix_sources(spark, docs, "").collect()))
+    assert found == Counter({named[r.row_key0, r.row_key1]: r.n for r in drawn if r.n}) and max(found.values()) > 2
+
+
 def test_operators_leave_the_session_alone(spark):
     """No operator sets options, and batches are small whatever the session says."""
     from deltaloom.llm import media, packing, support
