@@ -20,7 +20,7 @@ ANCHOR = 16
 #: From so many occurrences on, windows of an anchor are dealt by their own content.
 HOT = 20_000
 #: Bytes of the transforms that are built at once, and window starts that are hashed at once.
-TRANSFORM_BYTES, CHUNK = 2 << 20, 1 << 17
+TRANSFORM_BYTES, CHUNK = 1 << 19, 1 << 17
 #: The doc_id by which null counts: larger than all others.
 NULL_ID = 2**63 - 1
 
@@ -108,8 +108,8 @@ def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, ranks
 
 
-def sorted_suffixes(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first depth symbols (codes below 256), by doubling ranks."""
+def _sorted_by_ranks(codes: np.ndarray, depth: int) -> np.ndarray:
+    """sorted_suffixes() of any number of suffixes."""
     n = len(codes)
     padded = np.concatenate([codes, np.zeros(8, np.uint8)])
     order, ranks = _ranks(np.ndarray((n,), ">u8", padded, 0, (1,)).astype(np.uint64))
@@ -123,6 +123,49 @@ def sorted_suffixes(codes: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def sorted_suffixes(codes: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in the order of their first depth symbols (codes below 256), by doubling ranks.
+
+    A rank is where its class of suffixes begins. Two ranks and the suffix itself make one word, so that words are
+    sorted and not their places; only suffixes that still share their class are sorted again.
+    """
+    n = len(codes)
+    bits = n.bit_length()
+    if 3 * bits > 64:
+        return _sorted_by_ranks(codes, depth)
+    b, own = U(bits), U((1 << bits) - 1)
+    have = min(8, (64 - bits) // 8)
+    padded = np.concatenate([codes, np.zeros(8, np.uint8)])
+    words = np.ndarray((n,), ">u8", padded, 0, (1,)).astype(np.uint64) >> U(64 - 8 * have) << b | np.arange(n, dtype=np.uint64)
+    words.sort()
+    order = (words & own).astype(np.int64)
+    words >>= b
+    new = np.ones(n + 1, bool)
+    new[1:n] = words[1:] != words[:-1]
+    begin = np.flatnonzero(new)
+    ranks = np.empty(n, np.uint64)
+    ranks[order] = np.repeat(begin[:-1], np.diff(begin)).astype(np.uint64)
+    while have < depth:
+        step = min(have, depth - have)
+        at = np.flatnonzero(~(new[:-1] & new[1:]))
+        if not len(at):
+            break
+        some = order[at]
+        after = np.where(some + step < n, ranks[np.minimum(some + step, n - 1)] + U(1), U(0))
+        words = (ranks[some] << b | after) << b | some.astype(np.uint64)
+        words.sort()
+        some = (words & own).astype(np.int64)
+        order[at] = some
+        words >>= b
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = words[1:] != words[:-1]
+        new[at] = fresh
+        begin = np.flatnonzero(fresh)
+        ranks[some] = np.repeat(at[begin], np.diff(np.append(begin, len(at)))).astype(np.uint64)
+        have += step
+    return order
+
+
 def expand_intervals(bwt: np.ndarray, length: int) -> np.ndarray:
     """Which rows share their first length symbols with the row before, from the transform alone; symbol 0
     separates strings and is never part of a common prefix.
@@ -139,24 +182,28 @@ def expand_intervals(bwt: np.ndarray, length: int) -> np.ndarray:
     known = np.zeros(n + 1, bool)  # where a common prefix below length has been derived
     begin = np.zeros(n + 1, bool)  # of the rows of each first symbol
     begin[np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=256))])] = True
-    at = np.flatnonzero(begin)
+    at = np.flatnonzero(begin).astype(np.int32)
     known[at] = True
-    low, high = at[:-1].astype(np.int64), at[1:].astype(np.int64) - 1
+    # The rows before and after with the same symbol; rows of symbol 0 are never the first or last of an interval.
+    before, after = np.full(n, -1, np.int32), np.full(n, n, np.int32)
+    k = np.flatnonzero(~begin[1:n]) + 1
+    before[back[k]], after[back[k - 1]] = back[k - 1], back[k]
+    before[bwt == 0], after[bwt == 0] = n, -1
+    low, high = at[:-1], at[1:] - 1
+    single = low[:0]  # intervals of one row are extended without looking at their neighbours
     for _ in range(1, length):
-        if not len(low):
+        if not len(low) and not len(single):
             break
         size = high - low + 1
-        shift = np.repeat(low - (np.cumsum(size) - size), size)
-        rows = shift + np.arange(len(shift))
-        lows, highs = np.repeat(low, size), np.repeat(high, size)
-        if (inner := bwt[rows] != 0).sum() < len(rows):
-            rows, lows, highs = rows[inner], lows[inner], highs[inner]
-        to = forth[rows]
-        last = begin[to + 1]
-        last |= back[np.minimum(to + 1, n - 1)] > highs
-        first = begin[to]
-        first |= back[np.maximum(to - 1, 0)] < lows
-        ends, starts = np.sort(to[last]).astype(np.int64) + 1, np.sort(to[first]).astype(np.int64)
+        if (ones := size == 1).any():
+            single = np.concatenate([single, low[ones]])
+            low, high, size = low[~ones], high[~ones], size[~ones]
+        single = forth[single[bwt[single] != 0]]
+        single = single[~known[single + 1]]
+        known[single + 1] = True
+        rows = np.repeat(low - (np.cumsum(size, dtype=np.int32) - size), size) + np.arange(size.sum(), dtype=np.int32)
+        first, last = before[rows] < np.repeat(low, size), after[rows] > np.repeat(high, size)
+        starts, ends = np.sort(forth[rows[first]]), np.sort(forth[rows[last]]) + 1
         fresh = ~known[ends]
         low, high = starts[fresh], ends[fresh] - 1
         known[ends[fresh]] = True

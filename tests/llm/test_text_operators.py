@@ -426,3 +426,19 @@ def test_words_of_blocks(texts):
 def test_packed_numbers(values):
     x = np.array(sorted(values), np.uint64)
     assert textblocks.unpack_sorted(textblocks.pack_sorted(x)).tolist() == x.tolist()
+
+
+def test_suffixes_are_sorted_by_words_of_ranks():
+    """Both ways to sort give the same classes in the same order, and the expansion finds common prefixes of any length."""
+    rng = np.random.default_rng(5)
+    for length in (1, 3, 8, 13, 50):
+        codes = rng.integers(1, 3, 700).astype(np.uint8)
+        codes[rng.integers(0, 700, 12)] = 0
+        codes[300:420] = codes[100:220]
+        codes[-1] = 0
+        order = suffix_dedup.sorted_suffixes(codes, length)
+        cut = [bytes(codes[i : i + length]) for i in order]
+        assert cut == [bytes(codes[i : i + length]) for i in suffix_dedup._sorted_by_ranks(codes, length)] == sorted(cut)
+        same = suffix_dedup.expand_intervals(codes[order - 1], length)
+        whole = [i for i, x in enumerate(cut) if len(x) == length and 0 not in x]
+        assert whole and [same[i] for i in whole] == [i > 0 and cut[i] == cut[i - 1] for i in whole]
