@@ -130,7 +130,7 @@ def moved_line_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 def moved_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _one_change(spark, sf_dir)
     exact = moves.exact_moves(moves.blocks(lines)).withColumn("edited", F.lit(False))
-    return hunks.relabel_hunks(hunks.classify_hunks(lines), moves.relabel_lines(lines, exact))
+    return hunks.relabel_hunks_by_moves(hunks.classify_hunks(lines), lines, exact)
 
 
 ROUND_SQL = """was AS (SELECT change_id, path, md5(text) AS d FROM files WHERE file_idx % 7 <> 0), now AS (SELECT change_id, path, md5(CASE WHEN file_idx % 3 = 0 THEN concat(text, ' edited') ELSE text END) AS d FROM files WHERE file_idx % 5 <> 0 OR file_idx % 7 = 0)"""
