@@ -66,40 +66,48 @@ def words(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, counts
 
 
-_POWERS = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 256) * 2, M5)]))
-    return _POWERS
+#: Bytes whose powers are held; further ones take them times a power of the whole.
+_CHUNK = 1 << 14
+_POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_CHUNK - 1, M5)]))
+_INVERSES = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_CHUNK - 1, U(pow(int(M5), -1, 1 << 64)))]))
 
 
 def word_hashes(b: np.ndarray, starts: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word; with lower, A-Z count as a-z."""
+    """A 64-bit hash of each word; with lower, A-Z count as a-z.
+
+    It mixes the sum of the bytes' keys times powers by place in the word. Powers are taken by place in b, which needs
+    no place in the word, and each sum is brought back by the inverse power of where its word starts.
+    """
     if not len(starts):
         return np.empty(0, np.uint64)
-    lo, n = starts[0], len(b)
-    spans = np.diff(np.append(starts, n))
-    at = np.arange(n - lo, dtype=np.int64) - np.repeat(starts - lo, spans)
-    terms = (_LOWER_KEYS if lower else _KEYS)[b[lo:]] * _powers(int(spans.max()))[at]
-    return mix(np.add.reduceat(terms, starts - lo))
+    b, at = b[starts[0] :], starts - starts[0]
+    terms = (_LOWER_KEYS if lower else _KEYS).take(b, mode="clip")
+    whole, back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.repeat(p[-1:] * p[1], len(b) // _CHUNK)])) for p in (_POWERS, _INVERSES))
+    for i, power in enumerate(whole):
+        part = terms[i * _CHUNK : (i + 1) * _CHUNK]
+        part *= _POWERS[: len(part)]
+        part *= power
+    return mix(np.add.reduceat(terms, at) * _INVERSES[at % _CHUNK] * back[at // _CHUNK])
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-word shingles and how many each text has; a text with fewer words has its whole sequence as one."""
     n = len(hashes)
-    first = np.concatenate([[0], np.cumsum(counts)])
     have = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
-    text = np.repeat(np.arange(len(counts)), have)
-    at = np.arange(have.sum()) - np.repeat(np.cumsum(have) - have, have) + first[text]
+    first, ends = np.cumsum(counts) - counts, np.cumsum(have)
     padded = np.concatenate([hashes, np.zeros(k, np.uint64)])
-    size = np.minimum(counts, k)[text]
-    out = np.full(len(at), U(k), np.uint64)
+    every = np.full(n, U(k), np.uint64)  # from each word on, over the ends of texts too
     for i in range(k):
-        out = out * M1 + np.where(i < size, padded[np.minimum(at + i, n)], U(0))
-    return mix(out + size.astype(np.uint64) * M4), have
+        every = every * M1 + padded[i : i + n]
+    out = every[np.arange(have.sum()) + np.repeat(first - (ends - have), have)] + np.array([k], np.uint64) * M4
+    short = np.flatnonzero((counts > 0) & (counts < k))
+    if len(short):
+        size = counts[short]
+        some = np.full(len(short), U(k), np.uint64)
+        for i in range(k):
+            some = some * M1 + np.where(i < size, padded[first[short] + i], U(0))
+        out[ends[short] - 1] = some + size.astype(np.uint64) * M4
+    return mix(out), have
 
 
 def distinct_in_texts(values: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,12 +124,24 @@ def distinct_in_texts(values: np.ndarray, have: np.ndarray) -> tuple[np.ndarray,
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending unsigned integers as differences in as few bytes as the largest difference takes."""
-    steps = np.diff(values, prepend=U(0)) if len(values) else values
-    most = int(steps.max()) if len(steps) else 0
-    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
-    return bytes([width]) + steps.astype(f"<u{width}").tobytes()
+    """Ascending unsigned integers as the first one and differences, in as few bytes as the largest difference takes."""
+    if not len(values):
+        return b""
+    steps = np.diff(values).astype("<u8")
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    return bytes([width]) + values[:1].astype("<u8").tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.uint64), dtype=np.uint64)
+    if not data:
+        return np.empty(0, np.uint64)
+    width = data[0]
+    if width in (1, 2, 4, 8):
+        rest = np.frombuffer(data, f"<u{width}", offset=9)
+    else:
+        rest = np.zeros(((len(data) - 9) // width, 8), np.uint8)
+        rest[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+        rest = rest.view("<u8")[:, 0]
+    steps = np.empty(len(rest) + 1, np.uint64)
+    steps[:1], steps[1:] = np.frombuffer(data, "<u8", 1, 1), rest
+    return np.cumsum(steps, dtype=np.uint64)

@@ -442,3 +442,14 @@ def test_suffixes_are_sorted_by_words_of_ranks():
         same = suffix_dedup.expand_intervals(codes[order - 1], length)
         whole = [i for i, x in enumerate(cut) if len(x) == length and 0 not in x]
         assert whole and [same[i] for i in whole] == [i > 0 and cut[i] == cut[i - 1] for i in whole]
+
+
+def test_packed_numbers_take_what_their_differences_take():
+    # The first number took as many bytes for every difference as it has itself.
+    x = np.uint64(1 << 47) + np.cumsum(np.full(1000, 1 << 30, np.uint64))
+    packed = textblocks.pack_sorted(x)
+    assert len(packed) <= 4 * len(x) + 9
+    assert textblocks.unpack_sorted(packed).tolist() == x.tolist()
+    wide = np.arange(100, dtype=np.uint64) << np.uint64(33)
+    assert len(textblocks.pack_sorted(wide)) <= 5 * len(wide) + 9
+    assert textblocks.unpack_sorted(textblocks.pack_sorted(wide)).tolist() == wide.tolist()
