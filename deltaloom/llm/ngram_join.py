@@ -28,6 +28,9 @@ HOT_POSTING, SALTS = 256, 32
 #: Postings up to this length are compared pair by pair, longer ones leader by leader. Where all postings up to a
 #: greater length have no more pairs than there are rows in the first round's postings, that length counts.
 SMALL_POSTING = 8
+#: By how much that number of pairs grows with each further round, so that a group of texts of which no two link ends after
+#: few rounds, not after one for each text.
+ROOM_GROWTH = 4
 
 
 def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,10 +212,10 @@ def _candidates(k: int, buckets: int, share: int):
             own, rank = block.values[s:e], level[s:e]
             found = signatures(own.tolist(), rank.tolist(), share)
             if found:
-                rows.append((block.ids[i], len(own), int(alone[i]), own[rank > 0].view(np.int64), found))
-        columns = list(zip(*rows, strict=True)) or [()] * 5
+                rows.append((block.ids[i], len(own), int(alone[i]), -float(rank.mean()), own[rank > 0].view(np.int64), found))
+        columns = list(zip(*rows, strict=True)) or [()] * 6
         long = pa.list_(pa.int64())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), long, long), strict=True)], ["doc_id", "n", "alone", "tokens", "signatures"])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), long, long), strict=True)], ["doc_id", "n", "alone", "rare", "tokens", "signatures"])
 
     return run
 
@@ -248,17 +251,24 @@ class _Salted:
         return rows.join(keys, (F.col(self.key) == F.col(to)) & (F.col("salt") == F.col("table_salt")), how).drop("salt", "table_salt")
 
 
-def _sized(postings: DataFrame) -> DataFrame:
-    """How many members each posting has (two or more), and sums that are equal for equal members."""
+def _reach(share: int):
+    """Two texts can link only if share times the size of each is within the reach of the other: tokens that no other text
+    has are not common."""
+    return (100 + share) * (F.col("n") - F.col("alone")) - share * F.col("n")
+
+
+def _sized(postings: DataFrame, share: int) -> DataFrame:
+    """How many members each posting has (two or more), sums that are equal for equal members, the least size and the greatest reach."""
     h = lambda *seed: F.sum(F.xxhash64("doc_id", *map(F.lit, seed)).cast("decimal(38,0)"))
-    return postings.groupBy("s").agg(F.count("*").alias("members"), h().alias("h1"), h(1).alias("h2")).filter("members > 1")
+    return postings.groupBy("s").agg(F.count("*").alias("members"), h().alias("h1"), h(1).alias("h2"), F.min("n").alias("least"), F.max(_reach(share)).alias("most")).filter("members > 1")
 
 
-def _one_of_each(postings: DataFrame) -> DataFrame:
-    """Postings of two members or more, one of those with the same members."""
-    sized = stage(_sized(postings), "posting-sizes")
-    kept = sized.groupBy("members", "h1", "h2").agg(F.min("s").alias("t")).select("t", "members")
-    return _Salted(sized, sized.agg(F.sum("members")).first()[0] or 0).join(postings, kept).select("s", "doc_id", "n", "alone", "component", "members")
+def _one_of_each(postings: DataFrame, share: int) -> DataFrame:
+    """Postings of two members or more, one of those with the same members, without members that can link with none of the others."""
+    sized = stage(_sized(postings, share), "posting-sizes")
+    kept = sized.groupBy("members", "h1", "h2").agg(F.min("s").alias("t"), F.min("least").alias("least"), F.max("most").alias("most")).select("t", "members", "least", "most")
+    joined = _Salted(sized, sized.agg(F.sum("members")).first()[0] or 0).join(postings, kept)
+    return joined.filter((share * F.col("least") <= _reach(share)) & (share * F.col("n") <= F.col("most"))).select("s", "doc_id", "n", "alone", "rare", "component", "members")
 
 
 def _small(postings: DataFrame, room: int | None) -> tuple[int, int]:
@@ -277,29 +287,35 @@ def _links(found: DataFrame, share: int) -> DataFrame:
     """Labels (node, component) of all texts with links.
 
     A small posting is compared pair by pair, where alone (tokens that no other text has) lets a pair be close
-    enough. A longer one is compared with one leader, the member with the fewest tokens of its own. Let x not link
+    enough. A longer one is compared with one leader, the member whose tokens are the most frequent ones on average: of
+    edited copies of a text that is the least edited one, outside which the others have little but their own edits. Let x not link
     with its leader l, and y be another member. Without a shared token outside l, what x and y have in common
     is part of l, so that y links with x only if it is smaller than l and enough of l is in both: these pairs are compared.
     Any other y shares a token outside l with x, so both meet again in the posting of l and that token. So each
     round ends with shorter postings, of which only those that span two components matter, and the rounds
-    end when no leader has been compared with anything new.
+    end when no leader has been compared with anything new. Texts of which no two link leave one leader a round behind, so what
+    is compared pair by pair grows by ROOM_GROWTH with each round.
     """
     sets = found.select("doc_id", "n", "tokens")
-    able = found.select(F.col("doc_id").alias("member"), "n", "alone")
-    postings = found.select("doc_id", "n", "alone", F.col("doc_id").alias("component"), F.explode(F.array_distinct("signatures")).alias("s"))
+    able = found.select(F.col("doc_id").alias("member"), "n", "alone", "rare")
+    postings = found.select("doc_id", "n", "alone", "rare", F.col("doc_id").alias("component"), F.explode(F.array_distinct("signatures")).alias("s"))
     known = labels = close = room = None
     while True:
-        postings = stage(_one_of_each(postings), "postings")
+        postings = stage(_one_of_each(postings, share), "postings")
         length, rows = _small(postings, room)
-        room = rows if room is None else room
+        room = ROOM_GROWTH * (rows if room is None else room)
         common = F.least(F.col("n") - F.col("alone"), F.col("m") - F.col("lone"))
         possible = 100 * common >= share * (F.col("n") + F.col("m") - common)
         small = postings.filter(F.col("members") <= length)
         other = small.select(F.col("s").alias("t"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("alone").alias("lone"), F.col("component").alias("c"))
-        pairs = small.join(other, (F.col("s") == F.col("t")) & (F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("c")) & possible).select(F.col("doc_id").alias("a"), "b")
+        if length < HOT_POSTING:
+            met = small.join(other, F.col("s") == F.col("t"))
+        else:
+            met = _Salted(small.groupBy("s").agg(F.first("members").alias("members")), rows).join(small, other)
+        pairs = met.filter((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("c")) & possible).select(F.col("doc_id").alias("a"), "b")
         pairs = (pairs if close is None else pairs.unionByName(close)).distinct()
         large = postings.filter(F.col("members") > length)
-        leaders = large.groupBy(F.col("s").alias("t")).agg(F.min(F.struct("alone", "doc_id")).alias("l")).select("t", F.col("l.doc_id").alias("b"))
+        leaders = large.groupBy(F.col("s").alias("t")).agg(F.min(F.struct("rare", "doc_id")).alias("l")).select("t", F.col("l.doc_id").alias("b"))
         salted = _Salted(large.groupBy("s").agg(F.first("members").alias("members")), rows)
         led = salted.join(large, leaders).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
         if known is not None:
@@ -331,7 +347,7 @@ def _links(found: DataFrame, share: int) -> DataFrame:
         spans = stage(again.groupBy("s").agg(F.min("ca").alias("c1"), F.max("ca").alias("c2"), F.count("*").alias("members")).filter("c1 <> c2").select("s", "members"), "spans")
         salted = _Salted(spans, spans.agg(F.sum("members")).first()[0] or 0)
         postings = salted.join(again, spans.select(F.col("s").alias("t")), how="left_semi").select("s", F.col("doc_id").alias("member"), F.col("ca").alias("component")).distinct()
-        postings = postings.join(able, "member").select("s", F.col("member").alias("doc_id"), "n", "alone", "component")
+        postings = postings.join(able, "member").select("s", F.col("member").alias("doc_id"), "n", "alone", "rare", "component")
 
 
 def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words_each: int = 5, share: int = 80, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -367,7 +383,7 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
     sent = texts.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(lean(_send(words_each, buckets)), "bucket int, block int, tokens binary, texts binary")
     levels = sent.groupBy("bucket").applyInArrow(lean(_frequencies), "block int, bucket int, levels binary")
     messages = reps.select("block", F.lit(0).alias("kind"), "doc_id", "d1", "node", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("levels")).unionByName(levels.select("block", F.lit(1).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("doc_id", "d1", "node")), "bucket", "levels"))
-    found = texts.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(lean(_candidates(words_each, buckets, share)), "doc_id long, n long, alone long, tokens array<long>, signatures array<long>")
+    found = texts.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(lean(_candidates(words_each, buckets, share)), "doc_id long, n long, alone long, rare double, tokens array<long>, signatures array<long>")
     found = stage(found, "join-candidates")
     links = _links(found, share).withColumnRenamed("node", "linked")
     named = classes.join(links, F.col("node") == F.col("linked"), "left").withColumn("component", F.coalesce("component", "node"))

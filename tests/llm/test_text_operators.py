@@ -222,6 +222,22 @@ def test_ngram_join_deals_hot_postings(spark, monkeypatch):
     assert got == components(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("with_base", [False, True])
+def test_ngram_join_ends_after_few_rounds(spark, monkeypatch, with_base):
+    """Edited copies of a text of which no two link: each round used to leave one of them behind."""
+    rounds, find = [], ngram_join.connected_components
+    monkeypatch.setattr(ngram_join, "connected_components", lambda links: rounds.append(1) or find(links))
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base)] * 2 if with_base else []
+    for i in range(40):
+        words = list(base)
+        for at in (2 * i + 5, (2 * i + 41) % 90 + 5) if i % 10 else (30,):
+            words[at] = f"x{i}"
+        texts.append(" ".join(words))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs(spark, texts)).collect()} == components(list(enumerate(texts)))
+    assert len(rounds) <= 5
+
+
 def test_signatures_never_miss_a_pair():
     rng = random.Random(4)
     for _ in range(400):
